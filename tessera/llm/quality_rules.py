@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import staged
+
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
 THRESHOLD = -0.2
@@ -106,11 +108,12 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_tru
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     marked = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().cast("int").alias("good"), "w")
     counts = n_grams(marked, ["good"], buckets).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
-    sums = counts.groupBy(F.lit(1).alias("one")).agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    both = counts.withColumn("one", F.lit(1)).join(F.broadcast(sums), "one")
-    smooth = lambda n, total: (F.col(n) + F.lit(0.5)) / (F.col(total) + F.lit(0.5 * 2 * buckets))
-    ratio = F.when(F.col("all_good") > 0, F.log(smooth("good", "all_good") / smooth("raw", "all_raw"))).otherwise(0.0)
-    return both.select("gram", ratio.alias("weight"))
+    counts = staged(counts, "grams")
+    total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
+    if not total.good:
+        return counts.select("gram", F.lit(0.0).alias("weight"))
+    smooth = lambda c: (F.col(c) + F.lit(0.5)) / F.lit(float(total[c]) + 0.5 * 2 * buckets)
+    return counts.select("gram", F.log(smooth("good") / smooth("raw")).alias("weight"))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:

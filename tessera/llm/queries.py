@@ -85,3 +85,29 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.jaccard_join import link_components
 
     return link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import dedup
+
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_classifier import HELD_OUT, fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), *HELD_OUT).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import HELD_OUT, fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs, fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id"), *HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")

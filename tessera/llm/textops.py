@@ -107,11 +107,11 @@ def sequences(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def chunks(data: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most `limit` bytes in all, or of one text."""
+def chunks(data: list[bytes], limit: int = CHUNK_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` texts and at most `limit` bytes in all, or of one text."""
     at, size = 0, 0
     for i, d in enumerate(data):
-        if i > at and size + len(d) + 1 > limit:
+        if i > at and (size + len(d) + 1 > limit or i - at >= most):
             yield at, i
             at, size = i, 0
         size += len(d) + 1
