@@ -34,7 +34,7 @@ from tessera.llm.textops import chunks, encoded, mix, word_table
 
 BUCKETS = 1 << 18
 DIMENSIONS = 10
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 MAX_CHARS = 20_000
 EPOCHS = 12
 RATE = 0.5

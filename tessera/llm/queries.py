@@ -111,3 +111,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs, fit(docs))
     return out.select("doc_id", held_out(F.col("doc_id"), *HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dedup import near_links
+
+    return near_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))[0]
