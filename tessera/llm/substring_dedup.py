@@ -73,7 +73,7 @@ def window_keys(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds:
     lo, hi = index[starts] + np.int32(1), index[starts + window - 1]
     levels = []
     for r in range(rounds):
-        left = mix(sym + np.uint64(r + 1) * _G) >> np.uint64(63) == 0
+        left = mix(sym + np.uint64((r + 1) * int(_G) % (1 << 64))) >> np.uint64(63) == 0
         # At its edges a window fixes a symbol only if that cannot pair outwards.
         some = lo < hi
         lo, hi = np.where(some, lo, 0), np.where(some, hi, 1)
@@ -323,7 +323,7 @@ def dedup(docs: DataFrame, carry: list[str] = (), digest: bool = False) -> DataF
     looked = rows.join(_collected(single), ["doc_id", "rid"], "left").select(*carry, "doc_id", "rid", "text", "lists")
     table = staged(looked.mapInArrow(_candidates(list(carry), digest), f"{kept}doc_id long, rid long, n_words long, kept string, text string, bits binary"), "windows")
     open_ = table.filter("bits is not null")
-    n = open_.agg(F.sum(F.bit_count(F.lit(0)) + F.length("bits")).alias("n")).first().n or 0
+    n = open_.agg(F.sum(F.length("bits")).alias("n")).first().n or 0
     groups = max(1, -(-n * 8 // ENTRIES_PER_GROUP))
     firsts = open_.select("doc_id", "rid", "text", "bits").mapInArrow(_window_entries(groups), _PACKED).groupBy("g").applyInArrow(_first_windows, _LISTS)
     found = open_.join(_collected(firsts), ["doc_id", "rid"], "left").select(*carry, "doc_id", "n_words", "text", "bits", "lists")
