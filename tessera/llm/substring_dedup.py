@@ -145,10 +145,9 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _by_doc(docs: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Table:
     """(doc_id, rid, places): one row a document of the entries given."""
-    used, unit = np.unique(docs[owner], axis=0, return_inverse=True) if len(owner) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
-    unit = unit.reshape(-1)
-    order = np.argsort(unit, kind="stable")
-    cut = np.searchsorted(unit[order], np.arange(len(used) + 1))
+    order = np.argsort(owner, kind="stable")
+    used, begin = np.unique(owner[order], return_index=True)
+    used, cut = docs[used], np.append(begin, len(owner))
     place = place[order].astype(np.int32)
     lists = [place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
     return pa.table({"doc_id": pa.array(np.ascontiguousarray(used[:, 0])), "rid": pa.array(np.ascontiguousarray(used[:, 1])), "places": pa.array(lists, pa.binary())})
