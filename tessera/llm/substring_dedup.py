@@ -6,8 +6,8 @@ symbol, then in each round neighbouring symbols whose names hash to "left" and
 made of, so all tasks name alike without exchanging a dictionary, and equal
 passages get equal symbols, but for a few at their edges.  For every window of
 20 words the symbols fixed by the window alone are known exactly; its key is
-the longest of them on the highest level that has one (the window's own hash
-if none has).  Equal windows have equal keys.
+made of all of them on the highest level that has one (of its words if none
+has).  Equal windows have equal keys, and neighbouring windows mostly share one.
 
 1. Keys that occur once in the corpus prove that their windows do not repeat.
 2. The windows with shared keys are verified by a hash of all their words, and
@@ -38,13 +38,15 @@ from tessera.llm.storage import staged
 from tessera.llm.textops import Words, chunks, encoded, mix, sequences, word_table
 
 WINDOW = 20
-ROUNDS = 6
+ROUNDS = 5
 ENTRIES_PER_GROUP = 3_000_000
 # Documents whose entries are combined before an exchange.
 SLICE = 4096
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
-_PACKED = "g long, docs binary, owners binary, places binary, keys binary"
+_PACKED = "g long, docs binary, counts binary, places binary, keys binary"
+# Bytes of a key that are sent: a filter's false match only costs a verification; window hashes go whole.
+KEY_BYTES, HASH_BYTES = 5, 8
 
 
 def window_starts(first: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -54,7 +56,7 @@ def window_starts(first: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def window_keys(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, keys, places): of each window its key and the key symbol's place, start word * 8 + level."""
+    """(starts, keys, places): of each window its key and a number for the key's own place, ascending by text."""
     starts = window_starts(first, window)
     n = len(h)
     if not len(starts):
@@ -103,44 +105,59 @@ def window_keys(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds:
         has = a < b
         mine, a, b = todo[has], a[has], b[has]
         if len(mine):
-            size = np.diff(np.append(at, n))
-            best, most = a.copy(), size[a]
+            name = sym[a]
             for j in range(1, int((b - a).max())):
-                c = np.minimum(a + j, b - 1)
-                longer = size[c] > most
-                best, most = np.where(longer, c, best), np.where(longer, size[c], most)
-            keys[mine] = sym[best]
-            places[mine] = at[best].astype(np.int64) * 8 + level
+                more = a + j < b
+                name[more] = mix(name[more] * _G + sym[a[more] + j])
+            keys[mine] = name
+            # Start word, number of symbols, level.
+            places[mine] = at[a].astype(np.int64) * 256 + (b - a).astype(np.int64) * 8 + level
         todo = todo[~has]
     if len(todo):
         keys[todo] = sequences(h, window)[starts[todo]]
-        places[todo] = starts[todo].astype(np.int64) * 8
+        places[todo] = starts[todo].astype(np.int64) * 256
     return starts, keys, places
 
 
-def _pack(group: np.ndarray, groups: int, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """One row per group: its documents (doc_id, rid), and of each entry the document, the place and the key."""
-    order = np.argsort(group, kind="stable")
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all first bytes first, so that equal bytes lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, width: int, kind) -> np.ndarray:
+    full = np.dtype(kind).itemsize
+    out = np.zeros((len(data) // width, full), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def _pack(groups: int, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray, width: int) -> pa.RecordBatch:
+    """One row per group of hashes: its documents (doc_id, rid), the number of entries of each, and the entries' places and keys."""
+    group = (key % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((place, owner, group))
     cut = np.searchsorted(group[order], np.arange(groups + 1))
     out: list[list] = [[], [], [], [], []]
     for g in np.flatnonzero(np.diff(cut)).tolist():
         at = order[cut[g] : cut[g + 1]]
-        used, local = np.unique(owner[at], return_inverse=True)
-        row = (g, docs[used].tobytes(), local.astype(np.int32).tobytes(), place[at].astype(np.int32).tobytes(), key[at].tobytes())
+        used, counts = np.unique(owner[at], return_counts=True)
+        steps = np.diff(place[at].astype(np.int32), prepend=np.int32(0))
+        row = (g, docs[used].tobytes(), counts.astype(np.int32).tobytes(), _planes(steps, 4), _planes(key[at] // np.uint64(groups), width))
         for column, value in zip(out, row):
             column.append(value)
     kinds = [pa.int64(), *[pa.binary()] * 4]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [f.split()[0] for f in _PACKED.split(", ")])
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    docs, owners, at = [], [], 0
-    for d, o in zip(table.column("docs").to_pylist(), table.column("owners").to_pylist()):
+def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, and by entry: its document's row in docs, its place, its key)."""
+    docs, counts, places, keys = [], [], [], []
+    for d, c, p, k in zip(*(table.column(x).to_pylist() for x in ("docs", "counts", "places", "keys"))):
         docs.append(np.frombuffer(d, np.int64).reshape(-1, 2))
-        owners.append(np.frombuffer(o, np.int32).astype(np.int64) + at)
-        at += len(docs[-1])
-    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-    return np.concatenate(docs), np.concatenate(owners), read("places", np.int32), read("keys", np.uint64)
+        counts.append(np.frombuffer(c, np.int32))
+        places.append(np.cumsum(_from_planes(p, 4, np.int32), dtype=np.int32))
+        keys.append(_from_planes(k, width, np.uint64))
+    docs = np.concatenate(docs)
+    return docs, np.repeat(np.arange(len(docs), dtype=np.int32), np.concatenate(counts)), np.concatenate(places), np.concatenate(keys)
 
 
 def _by_doc(docs: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Table:
@@ -174,22 +191,22 @@ def _key_entries(groups: int):
             for a, b in chunks(data):
                 table = word_table(data[a:b])
                 starts, key, place = window_keys(table.hashes(), table.first)
-                # One entry for each symbol that some window has as its key.
+                # One entry for each key place; its number in its text says where.
                 place, one = np.unique(place, return_index=True)
                 owner = np.searchsorted(table.first, starts[one], side="right") - 1
-                keys.append(key[one]), owners.append(owner + a), places.append(place - table.first[owner] * 8)
+                keys.append(key[one]), owners.append(owner + a), places.append(np.arange(len(one)) - np.searchsorted(owner, owner))
             if not keys:
                 continue
             key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
             key, one, many = np.unique(key, return_index=True, return_counts=True)
             # A key found twice here is shared, wherever it lies: -1 says so.
-            yield _pack((key % np.uint64(groups)).astype(np.int64), groups, docs, owner[one], np.where(many > 1, -1, place[one]), key)
+            yield _pack(groups, docs, owner[one], np.where(many > 1, -1, place[one]), key, KEY_BYTES)
     return run
 
 
 def _single_keys(table: pa.Table) -> pa.Table:
     """Places of the keys that only one document has, once."""
-    docs, owner, place, key = _unpack(table)
+    docs, owner, place, key = _unpack(table, KEY_BYTES)
     _, one, many = np.unique(key, return_index=True, return_counts=True)
     one = one[(many == 1) & (place[one] >= 0)]
     return _by_doc(docs, owner[one], place[one])
@@ -221,8 +238,14 @@ def _candidates(carry: list[str], digest: bool):
             for a, b in chunks(data):
                 table = word_table(data[a:b])
                 starts, _, place = window_keys(table.hashes(), table.first)
-                single = [np.frombuffer(x, np.int32).astype(np.int64) + int(table.first[i]) * 8 for i, l in enumerate(lists[a:b]) for x in l or ()]
-                open_ = ~np.isin(place, np.concatenate(single)) if single else np.ones(len(place), dtype=bool)
+                place, one, back = np.unique(place, return_index=True, return_inverse=True)
+                # The first of each text's key places; text i's numbers count from there.
+                begin = np.searchsorted(starts[one], table.first[:-1])
+                shared = np.ones(len(place), dtype=bool)
+                for i, own in enumerate(lists[a:b]):
+                    for x in own or ():
+                        shared[np.frombuffer(x, np.int32) + begin[i]] = False
+                open_ = shared[back]
                 mask = np.zeros(len(table.start) + 1, dtype=bool)
                 mask[starts[open_]] = True
                 n_words += table.counts().tolist()
@@ -257,7 +280,7 @@ def _window_entries(groups: int):
                 continue
             key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
             one = _firsts(docs, owner, place, key)
-            yield _pack((key[one] % np.uint64(groups)).astype(np.int64), groups, docs, owner[one], place[one], key[one])
+            yield _pack(groups, docs, owner[one], place[one], key[one], HASH_BYTES)
     return run
 
 
@@ -269,7 +292,7 @@ def _firsts(docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndar
 
 
 def _first_windows(table: pa.Table) -> pa.Table:
-    docs, owner, place, key = _unpack(table)
+    docs, owner, place, key = _unpack(table, HASH_BYTES)
     one = _firsts(docs, owner, place, key)
     return _by_doc(docs, owner[one], place[one])
 
@@ -314,8 +337,8 @@ def dedup(docs: DataFrame, carry: list[str] = (), digest: bool = False) -> DataF
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     slim = rows.select("doc_id", "rid", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    # A word and its space are 6 characters or so, and a key serves some 5 windows.
-    groups = max(1, -(-size // (6 * 5 * ENTRIES_PER_GROUP)))
+    # A word and its space are 6 characters or so, and a key serves some 2 windows.
+    groups = max(1, -(-size // (6 * 2 * ENTRIES_PER_GROUP)))
     single = slim.mapInArrow(_key_entries(groups), _PACKED).groupBy("g").applyInArrow(_single_keys, _LISTS)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     kept = "".join(f"`{c}` {kinds[c]}, " for c in carry)
