@@ -39,7 +39,7 @@ from tessera.llm.textops import Words, chunks, encoded, mix, sequences, word_tab
 
 WINDOW = 20
 ROUNDS = 5
-ENTRIES_PER_GROUP = 3_000_000
+ENTRIES_PER_GROUP = 2_000_000
 # Documents whose entries are combined before an exchange.
 SLICE = 4096
 _G = np.uint64(0x9E3779B97F4A7C15)
