@@ -74,7 +74,7 @@ def repeated_words(w: Column, width: int = WINDOW) -> Column:
 
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda s: F.length(F.translate(s, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(SPACES)) != "")
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
@@ -84,11 +84,12 @@ def base_counts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     return rows.select(
         "row_id", "doc_id",
-        let(words(F.col("text")), lambda w: F.struct(w.alias("w"), F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("s"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        let(words(F.col("text")), lambda w: F.struct(
+            w.alias("w"), F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words"),
+        )).alias("s"),
+        (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         duplicate_lines(F.col("text")).alias("n_dup_lines"),
-    ).select("row_id", "doc_id", F.col("s.w").alias("w"), F.col("s.n_words").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+    ).select("row_id", "doc_id", F.col("s.w").alias("w"), F.col("s.n_words").alias("n_words"), F.col("s.word_chars").alias("word_chars"), "n_symbols", "n_dup_lines",
              F.col("s.n_repeat_words").alias("n_repeat_words"))
 
 
