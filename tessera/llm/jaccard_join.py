@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -46,7 +46,7 @@ SHINGLE = 5
 # 100 * intersection >= PERCENT * union.
 PERCENT = 80
 TINY, SMALL = 7, 63
-SIGNATURES_PER_GROUP = 4_000_000
+SIGNATURES_PER_GROUP = 1_500_000
 BLOCK_BYTES = 8_000_000
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
@@ -136,9 +136,11 @@ def _deal(groups: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                head, sigs = [], []
+                head, sigs, seen = [], [], set()
                 for n, cls, meta, sig in zip(*(part.column(c).to_pylist() for c in ("n", "cls", "meta", "sigs"))):
-                    if meta:
+                    # Copies are sent once.
+                    if meta and cls not in seen:
+                        seen.add(cls)
                         head += [(cls, t, k, e, n) for t, k, e in np.frombuffer(meta, np.int32).reshape(-1, 3).tolist()]
                         sigs.append(sig)
                 if not head:
@@ -207,6 +209,8 @@ def _verify_block(table: pa.Table) -> pa.Table:
             p, q = sets[x], sets[y]
             if len(p) > len(q):
                 p, q = q, p
+            if 100 * len(p) < PERCENT * len(q):
+                continue
             at = np.searchsorted(q, p)
             at[at == len(q)] = 0
             both = int((q[at] == p).sum())
@@ -257,18 +261,17 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     chosen = texts.join(picked.select("doc_id").hint("shuffle_hash"), "doc_id")
     sets = staged(chosen.mapInArrow(_set_rows, "cls long, shingles binary").join(heads, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    by_sig = Window.partitionBy("sig")
     fits = lambda a, b: F.col(a) * 100 >= F.col(b) * PERCENT
-    star = probes.select("cls", "n", F.min(F.struct("cls", "n")).over(by_sig).alias("head")).filter("head.cls <> cls")
-    star = star.select(F.col("head.cls").alias("a"), F.col("cls").alias("b"), "n", F.col("head.n").alias("m")).filter(fits("n", "m") & fits("m", "n"))
-    first = staged(star.select("a", "b").distinct(), "pairs")
+    # Aggregates combine before the exchange, and the joins' large groups can be split.
+    least = probes.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("sig", "a")
+    star = probes.join(least, "sig").filter("cls <> a").select("a", F.col("cls").alias("b"))
+    first = staged(star.distinct(), "pairs")
     links = staged(verified(first, sets), "links")
     joined = components(links)
 
     labelled = probes.join(joined, F.col("cls") == F.col("node"), "left").select("sig", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    split = labelled.withColumns({"low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig)}).filter("low < high")
-    split = staged(split.select("sig", "cls", "n", "comp"), "split")
-    # The largest component of a group meets only the rest; the rest meet each other.
+    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+    split = staged(labelled.join(mixed, "sig").select("sig", "cls", "n", "comp"), "split")
     x, y = split.alias("x"), split.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n"))
     across = across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
