@@ -38,10 +38,10 @@ from tessera.llm.storage import staged
 
 THRESHOLD = 0.95
 SAMPLE = 8192
-CLUSTER = 1500
+CLUSTER = 1200
 MAX_CLUSTERS = 1024
 SHARD = 4000
-MARGIN = 0.1
+MARGIN = 0.08
 MAX_HOME = 4
 DEGREE, CANDIDATES, RANDOM = 16, 48, 8
 ALPHA = 1.2
