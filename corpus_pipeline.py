@@ -2,18 +2,44 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last
-return the columns of docs.
+return the columns of docs.  As a stage begins, the tables that the stage
+before it staged for itself are deleted, so its result must be written by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, packing, quality_classifier, substring_dedup
-from tessera.llm.storage import staged
+from tessera.llm.storage import drop_staged, recorded, staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: dict[int, list[DataFrame]] = {}
+
+
+def _numbered(k: int) -> Callable[[Stage], Stage]:
+    """Stage k: deletes what stage k - 1 has left and remembers its own tables."""
+
+    def wrap(fn: Stage) -> Stage:
+        @wraps(fn)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            old = _left.pop(k - 1, [])
+            drop_staged(*[t for t in old if t.sparkSession.sparkContext.applicationId == spark.sparkContext.applicationId])
+            with recorded() as own:
+                out = fn(spark, docs, sf_dir)
+            _left.setdefault(k, []).extend(own)
+            return out
+
+        return run
+
+    return wrap
 
 
+@_numbered(0)
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     names = docs.columns
@@ -24,6 +50,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return good.select(*[F.col(c if c in ("doc_id", "text") else f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 
+@_numbered(1)
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near copies; documents that repeat a doc_id stay once."""
     groups = staged(jaccard_join.link_components(docs.select("doc_id", "text")), "groups")
@@ -36,6 +63,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept
 
 
+@_numbered(2)
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of windows that also start earlier; documents that lose all their words go."""
     names = docs.columns
@@ -48,11 +76,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.select(*[columns[c].alias(c) for c in names])
 
 
+@_numbered(3)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document can be there twice, or in part."""
     return mixing.mix(docs)
 
 
+@_numbered(4)
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences with their token ids."""
     return packing.pack(docs.select("doc_id", "source", "text")).drop("row_id")
@@ -72,6 +102,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)

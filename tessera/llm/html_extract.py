@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import small_batches
+
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript textarea title template iframe svg math select button object".split())
@@ -415,6 +417,7 @@ def extract_texts(pages: list[str], trees: Trees) -> list[str]:
 
 def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), one row a page.  pages: page_id, url, html."""
+    small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(trees or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,20 +13,24 @@ a set's e non-empty segments are equal in its partner.
   shares fewer than e - k signatures with any other set has no partner and
   leaves.  Any other set probes only its k + 1 rarest signatures, which is
   still complete, and costs least; unshared signatures need no probe at all.
-- Verification.  In every signature group each set is compared with the least
-  one; links found join sets into components.  Then, in groups that still hold
-  several components, all pairs across components are compared.  So every link
-  that could join two components is verified exactly, and no group is expanded
-  into all its pairs.  Comparisons run in two-dimensional blocks.
-
-Equal sets are one class from the start.  Should a set be left with no more
+- Verification.  In every signature group each set is compared with the most
+  central one; links found join sets into components.  Then, in groups that
+  still hold several components, pairs across components are compared unless
+  the counts of their shingles by bucket already differ by more than k.  So
+  every link that could join two components is verified exactly, and no group
+  is expanded into all its pairs.  Comparisons run in two-dimensional blocks.
+
+Equal sets are one class from the start.  Signatures of very large groups of
+near copies are found by counting in a sample and marked as shared where they
+stand; what the sample misses goes through the exchange, so results do not
+depend on it.  Should a set be left with no more
 than k non-empty segments, or two classes share a fingerprint, the next hash
 seed is taken, so the pigeonhole argument always holds.
 
 Cases: null, empty and blank texts have no shingles and link with nothing;
-texts of fewer words than a shingle are one shingle; repeated rows and rows
-that share a doc_id are one node; null doc_ids come back with a null
-component; an empty table gives no rows; other columns are ignored.
+texts of fewer words than a shingle are one shingle; repeated rows get equal
+results, other rows that share a doc_id one each by their text; null doc_ids
+come back with a null component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +43,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import drop_staged, staged
-from tessera.llm.textops import chunks, encoded, mix, sequences, word_table
+from tessera.llm.storage import drop_staged, small_batches, staged
+from tessera.llm.textops import chunks, encoded, from_planes, from_steps, mix, planes, sequences, steps, word_table
 
 SHINGLE = 5
 # 100 * intersection >= PERCENT * union.
 PERCENT = 80
 TINY, SMALL = 7, 63
+# Documents whose signatures are packed together.
+SLICE = 512
 SIGNATURES_PER_GROUP = 1_500_000
+# Signatures that more sets than this seem to have, by a count over one class in HEAVY_SAMPLE, are known
+# to be shared and need no exchange; at most HEAVY_MOST, the heaviest, so that they can be broadcast.
+HEAVY, HEAVY_SAMPLE, HEAVY_MOST = 100_000, 64, 100_000
 BLOCK_BYTES = 8_000_000
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
@@ -97,99 +106,159 @@ def _signatures(s: np.ndarray, top: int, seed: int) -> tuple[np.ndarray, int]:
     return mix(sums[ids] + mix(ids.astype(np.uint64) + tag)), k
 
 
-def _profile_rows(seed: int):
+def _class(s: np.ndarray) -> int:
+    return int(mix((mix(s + _C1).sum(dtype=np.uint64) + np.uint64(len(s))).reshape(1))[0].astype(np.int64))
+
+
+def _profiles(seed: int):
+    """One row per slice of documents: their ids, sizes and classes, and each class's signatures by band.
+
+    heads: (class, band, k, number of signatures, size) of each class and band;
+    sigs: the signatures in that order.  A class is there once.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = encoded(batch.column("text"))
-            for a in range(0, len(data), 512):
-                part = data[a : a + 512]
-                n, cls, cls2, sigs, meta, bad = [], [], [], [], [], []
+            for a in range(0, len(data), SLICE):
+                part = data[a : a + SLICE]
+                n, cls, cls2, sigs, heads, bad, seen = [], [], [], [], [], 0, set()
                 for s in shingle_sets(part):
-                    size = np.uint64(len(s))
-                    n.append(len(s))
-                    cls.append(int(mix((mix(s + _C1).sum(dtype=np.uint64) + size).reshape(1))[0].astype(np.int64)))
-                    cls2.append(int((mix(s + _C2).sum(dtype=np.uint64) + size).astype(np.int64)))
-                    own, head, few = [], [], 0
-                    if len(s) > 3:
-                        top = band_top(len(s))
-                        below = TINY if top == SMALL else (top - 1) // 2 if top > SMALL else 0
-                        for t in [top, *([below] if len(s) * 4 <= below * 5 else [])]:
-                            sig, k = _signatures(s, t, seed)
-                            few += len(sig) <= k
-                            own.append(sig)
-                            head += [t, k, len(sig)]
-                    bad.append(few)
-                    sigs.append(b"".join(x.tobytes() for x in own))
-                    meta.append(np.array(head, dtype=np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, len(part)), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(cls2, pa.int64()),
-                     pa.array(bad, pa.int64()), pa.array(meta, pa.binary()), pa.array(sigs, pa.binary())],
-                    ["doc_id", "n", "cls", "cls2", "bad", "meta", "sigs"],
-                )
+                    c = _class(s)
+                    n.append(len(s)), cls.append(c)
+                    cls2.append(int((mix(s + _C2).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
+                    if len(s) <= 3 or c in seen:
+                        continue
+                    seen.add(c)
+                    top = band_top(len(s))
+                    below = TINY if top == SMALL else (top - 1) // 2 if top > SMALL else 0
+                    for t in [top, *([below] if len(s) * 4 <= below * 5 else [])]:
+                        sig, k = _signatures(s, t, seed)
+                        bad += len(sig) <= k
+                        sigs.append(sig)
+                        heads.append((c, t, k, len(sig), len(s)))
+                row = {
+                    "doc_id": batch.column("doc_id").slice(a, len(part)).to_pylist(), "n": n, "cls": cls, "cls2": cls2, "bad": bad,
+                    "heads": np.array(heads, dtype=np.int64).tobytes(), "sigs": b"".join(x.tobytes() for x in sigs),
+                }
+                yield pa.RecordBatch.from_pylist([row], _PROFILE)
+    return run
+
+
+_LONGS = pa.list_(pa.int64())
+_PROFILE = pa.schema([("doc_id", _LONGS), ("n", _LONGS), ("cls", _LONGS), ("cls2", _LONGS), ("bad", pa.int64()), ("heads", pa.binary()), ("sigs", pa.binary())])
+_FOUND = "slice long, owners binary, sigs binary, dfs binary"
+
+
+def _entries(heads: bytes, sigs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place of its head, signature) of every entry of a slice."""
+    h = np.frombuffer(heads, np.int64).reshape(-1, 5)
+    return np.repeat(np.arange(len(h), dtype=np.int32), h[:, 3]), np.frombuffer(sigs, np.int64)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for heads, sigs in zip(*(batch.column(c).to_pylist() for c in ("heads", "sigs"))):
+            owner, sig = _entries(heads, sigs)
+            cls = np.frombuffer(heads, np.int64).reshape(-1, 5)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[(cls % HEAVY_SAMPLE == 0)[owner]])], ["sig"])
+
+
+def _packed(slices: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    return [
+        pa.array(slices, pa.int64()), pa.array([steps(o) for o, _, _ in parts], pa.binary()),
+        pa.array([s.tobytes() for _, s, _ in parts], pa.binary()), pa.array([planes(d.astype(np.int64), 8) for _, _, d in parts], pa.binary()),
+    ]
+
+
+def _marked(heavy: np.ndarray, df: np.ndarray):
+    """The heavy signatures of each slice, as rows like those of _shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slices, parts = [], []
+            for sl, heads, sigs in zip(*(batch.column(c).to_pylist() for c in ("slice", "heads", "sigs"))):
+                owner, sig = _entries(heads, sigs)
+                place = np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)
+                hit = heavy[place] == sig
+                if hit.any():
+                    slices.append(sl), parts.append((owner[hit], sig[hit], df[place[hit]]))
+            yield pa.RecordBatch.from_arrays(_packed(slices, parts), [f.split()[0] for f in _FOUND.split(", ")])
     return run
 
 
-def _deal(groups: int):
-    """Signatures of many sets, packed by the group their hash belongs to."""
+def _deal(groups: int, heavy: np.ndarray):
+    """Signatures of a slice but the heavy ones, packed by the group their hash belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                head, sigs, seen = [], [], set()
-                for n, cls, meta, sig in zip(*(part.column(c).to_pylist() for c in ("n", "cls", "meta", "sigs"))):
-                    # Copies are sent once.
-                    if meta and cls not in seen:
-                        seen.add(cls)
-                        head += [(cls, t, k, e, n) for t, k, e in np.frombuffer(meta, np.int32).reshape(-1, 3).tolist()]
-                        sigs.append(sig)
-                if not head:
-                    continue
-                heads = np.array(head, dtype=np.int64)
-                sig = np.frombuffer(b"".join(sigs), dtype=np.uint64)
-                owner = np.repeat(np.arange(len(heads)), heads[:, 3])
-                group = (sig % np.uint64(groups)).astype(np.int64)
+            for sl, heads, sigs in zip(*(batch.column(c).to_pylist() for c in ("slice", "heads", "sigs"))):
+                owner, sig = _entries(heads, sigs)
+                if len(heavy):
+                    light = ~np.isin(sig, heavy)
+                    owner, sig = owner[light], sig[light]
+                group = (sig.view(np.uint64) % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(group, kind="stable")
                 cut = np.searchsorted(group[order], np.arange(groups + 1))
-                ids, hs, oc, ss = [], [], [], []
-                for g in range(groups):
-                    at = order[cut[g] : cut[g + 1]]
-                    if len(at):
-                        used, local = np.unique(owner[at], return_inverse=True)
-                        ids.append(g), hs.append(heads[used].tobytes()), oc.append(local.astype(np.int32).tobytes()), ss.append(sig[at].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x, pa.binary()) for x in (hs, oc, ss)]], ["g", "heads", "owners", "sigs"])
+                ids = np.flatnonzero(np.diff(cut))
+                at = [order[cut[g] : cut[g + 1]] for g in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array([sl] * len(ids), pa.int64()), pa.array([steps(owner[x]) for x in at], pa.binary()), pa.array([sig[x].tobytes() for x in at], pa.binary())],
+                    ["g", "slice", "owners", "sigs"],
+                )
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one group, the signatures that two or more classes have, by class and band."""
-    heads, owners, at = [], [], 0
-    for h, o in zip(table.column("heads").to_pylist(), table.column("owners").to_pylist()):
-        heads.append(np.frombuffer(h, np.int64).reshape(-1, 5))
-        owners.append(np.frombuffer(o, np.int32).astype(np.int64) + at)
-        at += len(heads[-1])
-    head = np.concatenate(heads)
-    # One number for each distinct (class, band); copies of a set fall together.
-    _, first, unit = np.unique(head[:, 0] * np.int64(31) + head[:, 1], return_index=True, return_inverse=True)
-    sig = np.concatenate([np.frombuffer(s, np.uint64) for s in table.column("sigs").to_pylist()])
-    owner = unit[np.concatenate(owners)]
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
-    fresh = np.ones(len(sig), dtype=bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
-    sig, owner = sig[fresh], owner[fresh]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    df = np.repeat(np.diff(np.append(start, len(sig))), np.diff(np.append(start, len(sig))))
-    many = df > 1
-    sig, owner, df = sig[many], owner[many], df[many]
-    order = np.argsort(owner, kind="stable")
-    sig, owner, df = sig[order].astype(np.int64), owner[order], df[order]
-    units, begin = np.unique(owner, return_index=True)
-    offsets = pa.array(np.append(begin, len(sig)), pa.int32())
-    pairs = pa.StructArray.from_arrays([pa.array(df, pa.int64()), pa.array(sig)], ["df", "sig"])
-    own = head[first[units]]
-    cols = [pa.array(np.ascontiguousarray(own[:, i])) for i in range(5)]
-    return pa.Table.from_arrays([*cols, pa.ListArray.from_arrays(offsets, pairs)], ["cls", "band", "k", "e", "n", "found"])
+    """Of one group, the signatures found twice or more, with their number, by slice."""
+    slices = table.column("slice").to_numpy()
+    owners = [from_steps(o) for o in table.column("owners").to_pylist()]
+    row = np.repeat(np.arange(len(slices), dtype=np.int32), [len(o) for o in owners])
+    owner = np.concatenate(owners)
+    sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.int64)
+    order = np.argsort(sig, kind="stable")
+    start = np.flatnonzero(np.diff(sig[order], prepend=sig[order[0]] - 1) != 0)
+    df = np.diff(np.append(start, len(sig)))
+    order, df = order[np.repeat(df, df) > 1], df[df > 1]
+    df = np.repeat(df, df)
+    back = np.argsort(order, kind="stable")
+    at, df = order[back], df[back]
+    used, begin = np.unique(row[at], return_index=True)
+    parts = [(owner[at[a:b]], sig[at[a:b]], df[a:b]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
+    return pa.Table.from_arrays(_packed(slices[used].tolist(), parts), [f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Probes of each class that can have a partner: of e signatures the k + 1 rarest, without those not shared.
+
+    rank: a larger share of shared signatures first; such a set is central
+    among near copies.
+    """
+    for batch in batches:
+        for heads, found in zip(*(batch.column(c).to_pylist() for c in ("heads", "found"))):
+            h = np.frombuffer(heads, np.int64).reshape(-1, 5)
+            owner = np.concatenate([from_steps(f["owners"]) for f in found])
+            sig = np.frombuffer(b"".join(f["sigs"] for f in found), np.int64)
+            df = np.concatenate([from_planes(f["dfs"], 8, np.int64) for f in found])
+            order = np.lexsort((sig, df, owner))
+            owner, sig = owner[order], sig[order]
+            count = np.bincount(owner, minlength=len(h))
+            place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            spare = h[:, 2] + 1 - (h[:, 3] - count)
+            keep = place < spare[owner]
+            owner, sig = owner[keep], sig[keep]
+            rank = ((count << 20) // np.maximum(h[:, 3], 1) << 32) + (h[:, 0] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[owner, 0], h[owner, 1], h[owner, 4], rank[owner], sig)], ["cls", "band", "n", "rank", "sig"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a set fall into each of some buckets; the more, the larger the band."""
+    for batch in batches:
+        out = []
+        for band, data in zip(batch.column("band").to_pylist(), batch.column("shingles").to_pylist()):
+            size = min(2048, max(64, (band + 1) // 2))
+            out.append(np.bincount((mix(np.frombuffer(data, np.uint64) + _C2) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("band"), pa.array(out, pa.list_(pa.int32()))], ["cls", "band", "v"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +266,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = encoded(batch.column("text"))
         for a in range(0, len(data), 512):
             sets = shingle_sets(data[a : a + 512])
-            cls = [int(mix((mix(s + _C1).sum(dtype=np.uint64) + np.uint64(len(s))).reshape(1))[0].astype(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
 
 def _verify_block(table: pa.Table) -> pa.Table:
@@ -237,50 +305,63 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row a document.  docs: doc_id, text."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     while True:
-        profile = staged(texts.mapInArrow(_profile_rows(seed), "doc_id long, n long, cls long, cls2 long, bad long, meta binary, sigs binary"), "profile")
+        schema = "doc_id array<long>, n array<long>, cls array<long>, cls2 array<long>, bad long, heads binary, sigs binary"
+        profile = staged(texts.mapInArrow(_profiles(seed), schema).withColumn("slice", F.monotonically_increasing_id()), "profile")
+        slim = staged(profile.select(F.inline(F.arrays_zip("doc_id", "n", "cls", "cls2"))), "classes")
         state = profile.agg(F.sum("bad").alias("bad"), F.sum(F.length("sigs")).alias("size")).first()
-        clash = profile.groupBy("cls").agg(F.min("cls2").alias("a"), F.max("cls2").alias("b")).filter("a <> b").limit(1).count()
+        clash = slim.groupBy("cls").agg(F.min("cls2").alias("a"), F.max("cls2").alias("b")).filter("a <> b").limit(1).count()
         if not state.bad and not clash:
             break
-        drop_staged(profile)
+        drop_staged(profile, slim)
         seed += 1
-    named = profile.filter("doc_id is not null")
+    named = slim.filter("doc_id is not null")
     groups = max(1, -(-(state.size or 0) // (8 * SIGNATURES_PER_GROUP)))
-    dealt = named.select("n", "cls", "meta", "sigs").mapInArrow(_deal(groups), "g long, heads binary, owners binary, sigs binary")
-    found = dealt.groupBy("g").applyInArrow(_shared, "cls long, band long, k long, e long, n long, found array<struct<df:long,sig:long>>")
-    # Allocation: the k + 1 rarest of e signatures, of which e - (shared) are the set's own and need no probe.
-    per = found.groupBy("cls", "band").agg(*[F.first(c).alias(c) for c in ("k", "e", "n")], F.flatten(F.collect_list("found")).alias("found"))
-    spare = F.col("k") + 1 - (F.col("e") - F.size("found"))
-    per = per.filter(spare > 0).select("cls", "n", F.slice(F.sort_array("found"), F.lit(1), spare.cast("int")).alias("found"))
-    probes = staged(per.select("cls", "n", F.explode(F.transform("found", lambda f: f["sig"])).alias("sig")), "probes")
+    entries = profile.select("slice", "heads", "sigs").filter(F.length("heads") > 0)
+    seen = entries.select("heads", "sigs").mapInArrow(_sampled, "sig long").groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    most = seen.filter(F.col("df") * HEAVY_SAMPLE >= HEAVY).orderBy(F.desc("df"), "sig").limit(HEAVY_MOST).toArrow().sort_by("sig")
+    heavy = most.column("sig").to_numpy()
+    found = entries.mapInArrow(_deal(groups, heavy), "g long, slice long, owners binary, sigs binary").groupBy("g").applyInArrow(_shared, _FOUND)
+    if len(heavy):
+        found = found.unionByName(entries.mapInArrow(_marked(heavy, most.column("df").to_numpy() * HEAVY_SAMPLE), _FOUND))
+    found = found.groupBy("slice").agg(F.collect_list(F.struct("owners", "sigs", "dfs")).alias("found"))
+    probes = found.join(entries.select("slice", "heads"), "slice").select("heads", "found").mapInArrow(_allocated, "cls long, band long, n long, rank long, sig long")
+    # A class that several slices hold is there from each of them.
+    probes = staged(probes.distinct(), "probes")
+    drop_staged(profile)
 
     heads = probes.select("cls").distinct()
     picked = named.join(heads, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "cls")
     chosen = texts.join(picked.select("doc_id").hint("shuffle_hash"), "doc_id")
     sets = staged(chosen.mapInArrow(_set_rows, "cls long, shingles binary").join(heads, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    fits = lambda a, b: F.col(a) * 100 >= F.col(b) * PERCENT
     # Aggregates combine before the exchange, and the joins' large groups can be split.
-    least = probes.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("sig", "a")
-    star = probes.join(least, "sig").filter("cls <> a").select("a", F.col("cls").alias("b"))
+    centre = probes.groupBy("sig").agg(F.max_by("cls", "rank").alias("a"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("sig", "a")
+    star = probes.join(centre, "sig").filter("cls <> a").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"))
     first = staged(star.distinct(), "pairs")
     links = staged(verified(first, sets), "links")
     joined = components(links)
 
-    labelled = probes.join(joined, F.col("cls") == F.col("node"), "left").select("sig", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    labelled = probes.join(joined, F.col("cls") == F.col("node"), "left").select("sig", "cls", "band", "n", F.coalesce("component", "cls").alias("comp"))
     mixed = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-    split = staged(labelled.join(mixed, "sig").select("sig", "cls", "n", "comp"), "split")
+    split = staged(labelled.join(mixed, "sig").select("sig", "cls", "band", "n", "comp"), "split")
+    vectors = split.select("cls", "band").distinct().join(sets, "cls").select("cls", "band", "shingles").mapInArrow(_vectors, "cls long, band long, v array<int>")
+    split = split.join(vectors, ["cls", "band"])
     x, y = split.alias("x"), split.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n"))
+    fits = lambda a, b: F.col(a) * 100 >= F.col(b) * PERCENT
+    # What two sets' bucket counts differ by is a lower bound of what the sets differ by, which k bounds.
+    apart = F.aggregate(F.zip_with("x.v", "y.v", lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n") & (apart * 4 <= F.least("x.n", "y.n")))
     across = across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(across, "pairs")
     more = verified(second, sets)
     joined = components(links.unionByName(more))
+    drop_staged(probes, sets, first, second)
 
     rows = named.join(joined, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     full = rows.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = profile.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rest = slim.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(rest)

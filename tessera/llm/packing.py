@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.prefix import bucket_count, running_total
-from tessera.llm.storage import staged
+from tessera.llm.storage import small_batches, staged
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -155,6 +155,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, we
     docs: doc_id, source, text.  ids are little-endian uint32 (null without
     with_ids).
     """
+    small_batches(docs.sparkSession)
     table = staged(tokens(docs, tokenizer or default_tokenizer()), "tokens", "zstd")
     begin = schedule(table.drop("ids"), window, weights, seed)
     placed = table.select("row_id", "doc_id", "source", "n_tokens", "ids").join(begin, "row_id")

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import small_batches
 from tessera.llm.textops import chunks, encoded, mix, word_table
 
 BUCKETS = 1 << 18
@@ -169,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The columns of docs with quality_score and quality_predicted added."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index("text")

@@ -9,10 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows sent to a Python worker at once: texts can be long.
+BATCH_ROWS = 1000
+_recorders: list[list[DataFrame]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,9 +36,28 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    for r in _recorders:
+        r.append(out)
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch of texts can hold, for the whole session."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The tables staged inside the block."""
+    found: list[DataFrame] = []
+    _recorders.append(found)
+    try:
+        yield found
+    finally:
+        _recorders.remove(found)
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in frames:

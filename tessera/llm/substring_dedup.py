@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import staged
-from tessera.llm.textops import Words, chunks, encoded, mix, sequences, word_table
+from tessera.llm.storage import small_batches, staged
+from tessera.llm.textops import Words, chunks, encoded, from_planes, from_steps, mix, planes, sequences, steps, word_table
 
 WINDOW = 20
 ROUNDS = 5
@@ -119,18 +119,6 @@ def window_keys(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds:
     return starts, keys, places
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each number, all first bytes first, so that equal bytes lie together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
-
-
-def _from_planes(data: bytes, width: int, kind) -> np.ndarray:
-    full = np.dtype(kind).itemsize
-    out = np.zeros((len(data) // width, full), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
-    return out.view(kind).ravel()
-
-
 def _pack(groups: int, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray, width: int) -> pa.RecordBatch:
     """One row per group of hashes: its documents (doc_id, rid), the number of entries of each, and the entries' places and keys."""
     group = (key % np.uint64(groups)).astype(np.int64)
@@ -140,8 +128,7 @@ def _pack(groups: int, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, k
     for g in np.flatnonzero(np.diff(cut)).tolist():
         at = order[cut[g] : cut[g + 1]]
         used, counts = np.unique(owner[at], return_counts=True)
-        steps = np.diff(place[at].astype(np.int32), prepend=np.int32(0))
-        row = (g, docs[used].tobytes(), counts.astype(np.int32).tobytes(), _planes(steps, 4), _planes(key[at] // np.uint64(groups), width))
+        row = (g, docs[used].tobytes(), counts.astype(np.int32).tobytes(), steps(place[at]), planes(key[at] // np.uint64(groups), width))
         for column, value in zip(out, row):
             column.append(value)
     kinds = [pa.int64(), *[pa.binary()] * 4]
@@ -154,8 +141,8 @@ def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     for d, c, p, k in zip(*(table.column(x).to_pylist() for x in ("docs", "counts", "places", "keys"))):
         docs.append(np.frombuffer(d, np.int64).reshape(-1, 2))
         counts.append(np.frombuffer(c, np.int32))
-        places.append(np.cumsum(_from_planes(p, 4, np.int32), dtype=np.int32))
-        keys.append(_from_planes(k, width, np.uint64))
+        places.append(from_steps(p))
+        keys.append(from_planes(k, width, np.uint64))
     docs = np.concatenate(docs)
     return docs, np.repeat(np.arange(len(docs), dtype=np.int32), np.concatenate(counts)), np.concatenate(places), np.concatenate(keys)
 
@@ -333,6 +320,7 @@ def dedup(docs: DataFrame, carry: list[str] = (), digest: bool = False) -> DataF
     digest their SHA-256 in lowercase hex.  carry must not hold doc_id, text or
     the names of new columns.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
     slim = rows.select("doc_id", "rid", "text")

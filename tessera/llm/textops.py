@@ -122,3 +122,24 @@ def chunks(data: list[bytes], limit: int = CHUNK_BYTES, most: int = 1 << 30) ->
 def encoded(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     return [b"" if b is None else b for b in column.cast("binary").to_pylist()]
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number, all first bytes first, so that equal bytes lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def from_planes(data: bytes, width: int, kind) -> np.ndarray:
+    full = np.dtype(kind).itemsize
+    out = np.zeros((len(data) // width, full), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Small numbers in near-ascending order, as packed differences."""
+    return planes(np.diff(x.astype(np.int32), prepend=np.int32(0)), 4)
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, 4, np.int32), dtype=np.int32)

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from tessera.llm import jaccard_join
 from tessera.llm.jaccard_join import link_components
 from tessera.llm.substring_dedup import dedup, window_keys
 from tessera.llm.textops import word_table
@@ -51,6 +52,17 @@ def test_jaccard_small_sets_and_hot_group(spark):
     assert sorted(map(tuple, got.collect())) == brute_components(list(enumerate(texts)))
 
 
+def test_jaccard_heavy_signatures(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAVY", 8)
+    monkeypatch.setattr(jaccard_join, "HEAVY_SAMPLE", 2)
+    monkeypatch.setattr(jaccard_join, "SIGNATURES_PER_GROUP", 500)
+    texts = corpus(7, 120)
+    base = [f"w{i}" for i in range(120)]
+    texts += [" ".join(base[:i] + [f"n{i}"] + base[i + 1 :]) for i in range(100)] + [" ".join(base)] * 40
+    got = link_components(documents(spark, texts))
+    assert sorted(map(tuple, got.collect())) == brute_components(list(enumerate(texts)))
+
+
 def test_jaccard_edges(spark):
     df = documents(spark, ["a b c d e f", "a b c d e f", None], [4, 4, None])
     assert sorted(map(tuple, link_components(df).collect()), key=repr) == [(4, 2, 4), (4, 2, 4), (None, 0, None)]
