@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ ENTRIES_PER_GROUP = 2_000_000
 SLICE = 4096
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
-_PACKED = "g long, docs binary, counts binary, places binary, keys binary"
+_PACKED = "g long, slice long, docs binary, owners binary, places binary, keys binary"
 # Bytes of a key that are sent: a filter's false match only costs a verification; window hashes go whole.
 KEY_BYTES, HASH_BYTES = 5, 8
 
@@ -119,45 +120,90 @@ def window_keys(h: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds:
     return starts, keys, places
 
 
-def _pack(groups: int, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray, width: int) -> pa.RecordBatch:
-    """One row per group of hashes: its documents (doc_id, rid), the number of entries of each, and the entries' places and keys."""
+def _pack(groups: int, docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray, width: int, named: bool) -> pa.RecordBatch:
+    """One row per group of hashes with the entries' documents, places and keys, and one row with the slice's documents.
+
+    docs: (doc_id, rid) of the slice; owner: each entry's row there.  named
+    adds to each group the documents it has entries of.
+    """
+    uid = int(mix((mix(docs.astype(np.uint64).ravel() + np.arange(docs.size, dtype=np.uint64) * _G)).sum(dtype=np.uint64).reshape(1)).astype(np.int64)[0])
     group = (key % np.uint64(groups)).astype(np.int64)
     order = np.lexsort((place, owner, group))
     cut = np.searchsorted(group[order], np.arange(groups + 1))
-    out: list[list] = [[], [], [], [], []]
+    rows = [(groups + uid % groups, uid, docs.tobytes(), None, None, None)]
     for g in np.flatnonzero(np.diff(cut)).tolist():
         at = order[cut[g] : cut[g + 1]]
-        used, counts = np.unique(owner[at], return_counts=True)
-        row = (g, docs[used].tobytes(), counts.astype(np.int32).tobytes(), steps(place[at]), planes(key[at] // np.uint64(groups), width))
-        for column, value in zip(out, row):
-            column.append(value)
-    kinds = [pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [f.split()[0] for f in _PACKED.split(", ")])
-
-
-def _unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(docs, and by entry: its document's row in docs, its place, its key)."""
-    docs, counts, places, keys = [], [], [], []
-    for d, c, p, k in zip(*(table.column(x).to_pylist() for x in ("docs", "counts", "places", "keys"))):
-        docs.append(np.frombuffer(d, np.int64).reshape(-1, 2))
-        counts.append(np.frombuffer(c, np.int32))
-        places.append(from_steps(p))
-        keys.append(from_planes(k, width, np.uint64))
-    docs = np.concatenate(docs)
-    return docs, np.repeat(np.arange(len(docs), dtype=np.int32), np.concatenate(counts)), np.concatenate(places), np.concatenate(keys)
+        own = owner[at]
+        used = docs[own[np.flatnonzero(np.diff(own, prepend=-1))]].tobytes() if named else None
+        rows.append((g, uid, used, steps(own), steps(place[at]), planes(key[at] // np.uint64(groups), width)))
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in _PACKED.split(", ")])
+
+
+@dataclass
+class _Entries:
+    """Entries of one group: slice row, document row in the slice, place, key; and (doc_id, rid) where named."""
+
+    slices: np.ndarray
+    row: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    key: np.ndarray
+    docs: np.ndarray | None
+
+    @classmethod
+    def read(cls, table: pa.Table, width: int, named: bool) -> _Entries:
+        owners = [from_steps(x) for x in table.column("owners").to_pylist()]
+        places = [from_steps(x) for x in table.column("places").to_pylist()]
+        keys = [from_planes(x, width, np.uint64) for x in table.column("keys").to_pylist()]
+        docs = None
+        if named:
+            own = [np.cumsum(np.diff(o, prepend=-1) != 0) - 1 for o in owners]
+            docs = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[o] for d, o in zip(table.column("docs").to_pylist(), own)])
+        row = np.repeat(np.arange(len(owners), dtype=np.int32), [len(o) for o in owners])
+        return cls(table.column("slice").to_numpy(), row, np.concatenate(owners), np.concatenate(places), np.concatenate(keys), docs)
+
+    def lists(self, at: np.ndarray) -> pa.Table:
+        """The places of some entries, one row a slice."""
+        at = np.sort(at)
+        used, begin = np.unique(self.row[at], return_index=True)
+        parts = [at[a:b] for a, b in zip(begin, np.append(begin[1:], len(at)))]
+        columns = [self.slices[used].tolist(), [None] * len(parts), [steps(self.owner[x]) for x in parts], [steps(self.place[x]) for x in parts]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _LIST_KINDS)], _LIST_NAMES)
+
+
+_LISTS = "slice long, docs binary, owners binary, places binary"
+_LIST_KINDS = [pa.int64(), *[pa.binary()] * 3]
+_LIST_NAMES = [f.split()[0] for f in _LISTS.split(", ")]
+
+
+def _grouped(width: int, named: bool, choose):
+    """Runs `choose` (entries to places in entries) over a group; rows with a slice's documents pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("keys").null_count:
+            return table.select(_LIST_NAMES)
+        entries = _Entries.read(table, width, named)
+        return entries.lists(choose(entries))
 
-
-def _by_doc(docs: np.ndarray, owner: np.ndarray, place: np.ndarray) -> pa.Table:
-    """(doc_id, rid, places): one row a document of the entries given."""
-    order = np.argsort(owner, kind="stable")
-    used, begin = np.unique(owner[order], return_index=True)
-    used, cut = docs[used], np.append(begin, len(owner))
-    place = place[order].astype(np.int32)
-    lists = [place[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-    return pa.table({"doc_id": pa.array(np.ascontiguousarray(used[:, 0])), "rid": pa.array(np.ascontiguousarray(used[:, 1])), "places": pa.array(lists, pa.binary())})
+    return run
 
 
-_LISTS = "doc_id long, rid long, places binary"
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, rid, places) from a slice's documents and lists."""
+    for batch in batches:
+        for docs, lists in zip(*(batch.column(c).to_pylist() for c in ("docs", "lists"))):
+            if not lists:
+                continue
+            docs = np.frombuffer(docs, np.int64).reshape(-1, 2)
+            owner = np.concatenate([from_steps(x["owners"]) for x in lists])
+            place = np.concatenate([from_steps(x["places"]) for x in lists])
+            order = np.argsort(owner, kind="stable")
+            used, begin = np.unique(owner[order], return_index=True)
+            place = place[order]
+            out = [place[a:b].tobytes() for a, b in zip(begin, np.append(begin[1:], len(place)))]
+            own = docs[used]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[:, 0])), pa.array(np.ascontiguousarray(own[:, 1])), pa.array(out, pa.binary())], ["doc_id", "rid", "places"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +233,14 @@ def _key_entries(groups: int):
             key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
             key, one, many = np.unique(key, return_index=True, return_counts=True)
             # A key found twice here is shared, wherever it lies: -1 says so.
-            yield _pack(groups, docs, owner[one], np.where(many > 1, -1, place[one]), key, KEY_BYTES)
+            yield _pack(groups, docs, owner[one], np.where(many > 1, -1, place[one]), key, KEY_BYTES, False)
     return run
 
 
-def _single_keys(table: pa.Table) -> pa.Table:
-    """Places of the keys that only one document has, once."""
-    docs, owner, place, key = _unpack(table, KEY_BYTES)
-    _, one, many = np.unique(key, return_index=True, return_counts=True)
-    one = one[(many == 1) & (place[one] >= 0)]
-    return _by_doc(docs, owner[one], place[one])
+def _single_keys(e: _Entries) -> np.ndarray:
+    """The keys that only one document has, once."""
+    _, one, many = np.unique(e.key, return_index=True, return_counts=True)
+    return one[(many == 1) & (e.place[one] >= 0)]
 
 
 def _joined_words(table: Words, i: int, kept: np.ndarray | None = None) -> bytes:
@@ -266,22 +310,20 @@ def _window_entries(groups: int):
             if not keys:
                 continue
             key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
-            one = _firsts(docs, owner, place, key)
-            yield _pack(groups, docs, owner[one], place[one], key[one], HASH_BYTES)
+            one = _firsts(docs[owner], place, key)
+            yield _pack(groups, docs, owner[one], place[one], key[one], HASH_BYTES, True)
     return run
 
 
-def _firsts(docs: np.ndarray, owner: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Of each key the entry first by (doc_id, place, rid)."""
-    order = np.lexsort((docs[owner, 1], place, docs[owner, 0], key))
+def _firsts(docs: np.ndarray, place: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of each key the entry first by (doc_id, place, rid); docs: by entry."""
+    order = np.lexsort((docs[:, 1], place, docs[:, 0], key))
     k = key[order]
     return order[np.concatenate([[True], k[1:] != k[:-1]])] if len(order) else order
 
 
-def _first_windows(table: pa.Table) -> pa.Table:
-    docs, owner, place, key = _unpack(table, HASH_BYTES)
-    one = _firsts(docs, owner, place, key)
-    return _by_doc(docs, owner[one], place[one])
+def _first_windows(e: _Entries) -> np.ndarray:
+    return _firsts(e.docs, e.place, e.key)
 
 
 def _resolve(carry: list[str], digest: bool):
@@ -309,8 +351,13 @@ def _resolve(carry: list[str], digest: bool):
     return run
 
 
-def _collected(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("doc_id", "rid").agg(F.collect_list("places").alias("lists"))
+def _collected(packed: DataFrame, width: int, named: bool, choose) -> DataFrame:
+    """(doc_id, rid, lists): the places chosen in each group, back at their documents."""
+    lists = packed.groupBy("g").applyInArrow(_grouped(width, named, choose), _LISTS)
+    entry = F.when(F.col("owners").isNotNull(), F.struct("owners", "places"))
+    slices = lists.groupBy("slice").agg(F.first("docs", ignorenulls=True).alias("docs"), F.collect_list(entry).alias("lists"))
+    rows = slices.select("docs", "lists").mapInArrow(_spread, "doc_id long, rid long, places binary")
+    return rows.groupBy("doc_id", "rid").agg(F.collect_list("places").alias("lists"))
 
 
 def dedup(docs: DataFrame, carry: list[str] = (), digest: bool = False) -> DataFrame:
@@ -327,16 +374,16 @@ def dedup(docs: DataFrame, carry: list[str] = (), digest: bool = False) -> DataF
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     # A word and its space are 6 characters or so, and a key serves some 2 windows.
     groups = max(1, -(-size // (6 * 2 * ENTRIES_PER_GROUP)))
-    single = slim.mapInArrow(_key_entries(groups), _PACKED).groupBy("g").applyInArrow(_single_keys, _LISTS)
+    single = _collected(slim.mapInArrow(_key_entries(groups), _PACKED), KEY_BYTES, False, _single_keys)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     kept = "".join(f"`{c}` {kinds[c]}, " for c in carry)
-    looked = rows.join(_collected(single), ["doc_id", "rid"], "left").select(*carry, "doc_id", "rid", "text", "lists")
+    looked = rows.join(single, ["doc_id", "rid"], "left").select(*carry, "doc_id", "rid", "text", "lists")
     table = staged(looked.mapInArrow(_candidates(list(carry), digest), f"{kept}doc_id long, rid long, n_words long, kept string, text string, bits binary"), "windows")
     open_ = table.filter("bits is not null")
     n = open_.agg(F.sum(F.length("bits")).alias("n")).first().n or 0
     groups = max(1, -(-n * 8 // ENTRIES_PER_GROUP))
-    firsts = open_.select("doc_id", "rid", "text", "bits").mapInArrow(_window_entries(groups), _PACKED).groupBy("g").applyInArrow(_first_windows, _LISTS)
-    found = open_.join(_collected(firsts), ["doc_id", "rid"], "left").select(*carry, "doc_id", "n_words", "text", "bits", "lists")
+    firsts = _collected(open_.select("doc_id", "rid", "text", "bits").mapInArrow(_window_entries(groups), _PACKED), HASH_BYTES, True, _first_windows)
+    found = open_.join(firsts, ["doc_id", "rid"], "left").select(*carry, "doc_id", "n_words", "text", "bits", "lists")
     resolved = found.mapInArrow(_resolve(list(carry), digest), f"{kept}doc_id long, n_words long, n_removed long, kept string")
     done = table.filter("bits is null").select(*carry, "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
     return done.unionByName(resolved).withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
