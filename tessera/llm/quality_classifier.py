@@ -38,6 +38,8 @@ DIMENSIONS = 10
 MAX_ROWS = 4_000
 MAX_CHARS = 20_000
 EPOCHS = 12
+# Small samples are seen more often, until this many rows in all.
+MIN_SEEN = 32_000
 RATE = 0.5
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
@@ -113,7 +115,7 @@ class Model:
 def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, dims: int = DIMENSIONS, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> Model:
     """Vectors and softmax layer by SGD over mini-batches, the rate falling to 0."""
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         edge = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(buckets, dtype=np.float32), float(np.log(edge / (1 - edge))))
     ids, freq, cut = [], [], [0]
@@ -126,6 +128,7 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, dims:
         freq.append((times / np.bincount(owner, minlength=b - a)[doc]).astype(np.float32))
         cut += (np.cumsum(np.bincount(doc, minlength=b - a)) + cut[-1]).tolist()
     ids, freq, cut = np.concatenate(ids), np.concatenate(freq), np.array(cut)
+    epochs = max(epochs, -(-MIN_SEEN // len(texts)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
     layer, bias = np.zeros((dims, 2), dtype=np.float32), np.log(np.array([1 - share, share], dtype=np.float32))

@@ -21,7 +21,7 @@ def corpus(seed=1, n=120, vocabulary=400):
         if kind < 0.3 and len(texts) > 20:
             w = words(rng.choice(texts[7:])) or w
             for _ in range(rng.choice([0, 1, 1, 2, 4])):
-                at = rng.randrange(len(w))
+                at = rng.randrange(max(1, len(w)))
                 w = w[:at] + say(rng.choice([0, 1, 1])) + w[at + 1 :] if rng.random() < 0.7 else w[:at] + [rng.choice(pool)] + w[at:]
         elif kind < 0.45:
             at = rng.randrange(len(w))

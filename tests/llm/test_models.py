@@ -42,10 +42,10 @@ def test_quality_is_a_function_of_the_text(spark):
 
 
 def test_quality_without_both_classes(spark):
-    df = documents(spark, ["a", "b"])
-    labels = spark.createDataFrame([(0, 1), (1, 1), (None, 0), (9, 0), (1, None)], "doc_id long, quality int")
+    df = documents(spark, ["a", "b", "c", "d", "e", "f"])
+    labels = spark.createDataFrame([(i, 1) for i in range(6)] + [(None, 0), (9, 0), (1, None)], "doc_id long, quality int")
     assert all(r.quality_score > 0.9 for r in Q.score(df, Q.fit(df, labels)).collect())
-    assert [r.quality_score for r in Q.score(df, Q.fit(df, labels.filter("doc_id > 99"))).collect()] == [0.5, 0.5]
+    assert [r.quality_score for r in Q.score(df, Q.fit(df, labels.filter("doc_id > 99"))).collect()] == [0.5] * 6
 
 
 def test_language_held_out_accuracy(spark):
