@@ -17,22 +17,39 @@ from pyspark.sql import functions as F
 
 # Survivors are gathered in rounds of this many partitions to one.
 _FAN_IN = 8
+_BLOCK = 1024
+
+
+def _dominated(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which points some row of `by` is at most as large as in every dimension."""
+    out = np.zeros(len(points), dtype=bool)
+    for at in range(0, len(by), _BLOCK):
+        left = np.flatnonzero(~out)
+        if not len(left):
+            break
+        out[left] = (by[at : at + _BLOCK, None, :] <= points[None, left, :]).all(axis=2).any(axis=0)
+    return out
 
 
 def _frontier(points: np.ndarray) -> np.ndarray:
-    """Boolean mask of undominated rows among distinct rows, in sum order so that only survivors are compared."""
+    """Places of undominated rows among distinct rows.
+
+    In lexicographic order a row comes after all that dominate it, so each
+    block is compared with the frontier so far and with itself.
+    """
     order = np.lexsort(points.T[::-1])
     kept: list[np.ndarray] = []
-    mask = np.zeros(len(points), dtype=bool)
     front = np.empty((0, points.shape[1]), dtype=points.dtype)
-    for i in order:
-        p = points[i]
-        if len(front) and (front <= p).all(axis=1).any():
-            continue
-        mask[i] = True
-        kept.append(p)
-        front = np.asarray(kept)
-    return mask
+    for at in range(0, len(order), _BLOCK):
+        block = order[at : at + _BLOCK]
+        block = block[~_dominated(points[block], front)]
+        p = points[block]
+        smaller = (p[:, None, :] <= p[None, :, :]).all(axis=2)
+        np.fill_diagonal(smaller, False)
+        block = block[~smaller.any(axis=0)]
+        kept.append(block)
+        front = np.concatenate([front, points[block]])
+    return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
 
 
 def _local(dims: list[str]):
@@ -41,7 +58,7 @@ def _local(dims: list[str]):
         for batch in batches:
             both = batch if best is None else pd.concat([best, batch], ignore_index=True)
             both = both.drop_duplicates(dims, ignore_index=True)
-            best = both[_frontier(both[dims].to_numpy())].reset_index(drop=True)
+            best = both.iloc[_frontier(both[dims].to_numpy())].reset_index(drop=True)
         if best is not None:
             yield best
     return run
@@ -68,7 +85,7 @@ def _two_dims(keys: DataFrame, a: str, b: str) -> DataFrame:
 
 def _gathered(keys: DataFrame, dims: list[str]) -> DataFrame:
     """Local frontiers, merged in rounds of shrinking partition count."""
-    n = keys.rdd.getNumPartitions()
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = keys.mapInPandas(_local(dims), keys.schema)
     while n > 1:
         n = max(1, n // _FAN_IN)

@@ -238,6 +238,37 @@ def date_functions(c: Catalog) -> DataFrame:
                     lenient_date(F.col("d").cast("string")).alias("parsed"))
 
 
+@query("select o_orderkey, make_date(1995, cast(1 + o_orderkey % 12 as int), 1) + cast(o_orderkey % 31 as int) as d from orders")
+def lenient_dates(c: Catalog) -> DataFrame:
+    text = F.concat(F.lit("1995-"), 1 + F.col("o_orderkey") % 12, F.lit("-"), 1 + F.col("o_orderkey") % 31)
+    return c.scan("orders", ["o_orderkey"]).select("o_orderkey", lenient_date(text).alias("d"))
+
+
+@query("select count(*) as cnt, max(o_custkey) as top from orders where o_orderkey < 0 having count(*) > 0")
+def global_agg_empty(c: Catalog) -> DataFrame:
+    none = Plan.scan(c, "orders", "o_orderkey", "o_custkey").where(F.col("o_orderkey") < 0)
+    return none.aggregate(ops.count("cnt"), ops.max_("o_custkey", "top"), empty_rows=0).df
+
+
+@query("select o_totalprice, o_orderkey from orders order by o_totalprice desc, o_orderkey desc limit 25")
+def sort_desc(c: Catalog) -> DataFrame:
+    return Plan.scan(c, "orders", "o_totalprice", "o_orderkey").sort(["o_totalprice", "o_orderkey"], desc=True).page(0, 25).df
+
+
+@query("select r_name, sum(l_quantity) as qty, cast(count(*) as bigint) as lines from region join nation on r_regionkey = n_regionkey join customer on n_nationkey = c_nationkey join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey where o_totalprice > 300000 group by r_name")
+def join_bushy(c: Catalog) -> DataFrame:
+    places = Plan.scan(c, "region", "r_regionkey", "r_name").join(Plan.scan(c, "nation", "n_nationkey", "n_regionkey"), ["r_regionkey"], ["n_regionkey"])
+    people = places.join(Plan.scan(c, "customer", "c_custkey", "c_nationkey"), ["n_nationkey"], ["c_nationkey"])
+    big = Plan.scan(c, "orders", "o_orderkey", "o_custkey", "o_totalprice").where(F.col("o_totalprice") > 300000)
+    lines = big.join(Plan.scan(c, "lineitem", "l_orderkey", "l_quantity"), ["o_orderkey"], ["l_orderkey"])
+    return people.join(lines, ["c_custkey"], ["o_custkey"]).group_by(["r_name"], ops.sum_("l_quantity", "qty"), ops.count("lines")).df
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem o where not exists (select 1 from lineitem i where i.l_quantity <= o.l_quantity and i.l_extendedprice >= o.l_extendedprice and (i.l_quantity < o.l_quantity or i.l_extendedprice > o.l_extendedprice))")
+def pareto_min_max(c: Catalog) -> DataFrame:
+    return Plan.scan(c, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").pareto(["l_quantity", "-l_extendedprice"]).df
+
+
 @query("select l_orderkey, l_linenumber, ceil(l_extendedprice*100)/100 as price, l_linenumber - 1 as minus, l_orderkey % 7 as modulus, cast(l_orderkey // 7 as bigint) as quotient, -l_linenumber as negated, (l_quantity >= 25 and not l_discount > 0.05) as flag, l_orderkey & 12 as bits from lineitem")
 def scalar_functions(c: Catalog) -> DataFrame:
     flag = call("logical_and", call("greater_equal", "l_quantity", 25.0), call("logical_not", call("greater", "l_discount", 0.05)))
