@@ -52,7 +52,7 @@ PERCENT = 80
 TINY, SMALL = 7, 63
 # Documents whose signatures are packed together.
 SLICE = 512
-SIGNATURES_PER_GROUP = 1_500_000
+SIGNATURES_PER_GROUP = 1_000_000
 # Signatures that more sets than this seem to have, by a count over one class in HEAVY_SAMPLE, are known
 # to be shared and need no exchange; at most HEAVY_MOST, the heaviest, so that they can be broadcast.
 HEAVY, HEAVY_SAMPLE, HEAVY_MOST = 100_000, 64, 100_000

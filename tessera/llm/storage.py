@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rows sent to a Python worker at once: texts can be long.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+_WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "4000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
 _recorders: list[list[DataFrame]] = []
 
 
@@ -42,9 +43,12 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of texts can hold, for the whole session."""
+    """Bounds what one Arrow batch can hold and has Python workers give memory back, for the whole session."""
+    for name, value in _WORKER.items():
+        spark.sparkContext.environment.setdefault(name, value)
     if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 @contextmanager

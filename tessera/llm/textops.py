@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 # Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
