@@ -57,6 +57,7 @@ SIGNATURES_PER_GROUP = 1_000_000
 # to be shared and need no exchange; at most HEAVY_MOST, the heaviest, so that they can be broadcast.
 HEAVY, HEAVY_SAMPLE, HEAVY_MOST = 100_000, 64, 100_000
 BLOCK_BYTES = 8_000_000
+FEW = 128
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
 
@@ -256,9 +257,11 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for band, data in zip(batch.column("band").to_pylist(), batch.column("shingles").to_pylist()):
-            size = min(2048, max(64, (band + 1) // 2))
-            out.append(np.bincount((mix(np.frombuffer(data, np.uint64) + _C2) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("band"), pa.array(out, pa.list_(pa.int32()))], ["cls", "band", "v"])
+            size = min(512, max(64, (band + 1) // 2))
+            # Cut at 127, counts differ by no more than before.
+            count = np.bincount((mix(np.frombuffer(data, np.uint64) + _C2) % np.uint64(size)).astype(np.int64), minlength=size)
+            out.append(np.minimum(count, 127).astype(np.int8))
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("band"), pa.array(out, pa.list_(pa.int8()))], ["cls", "band", "v"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,13 +350,17 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     labelled = probes.join(joined, F.col("cls") == F.col("node"), "left").select("sig", "cls", "band", "n", F.coalesce("component", "cls").alias("comp"))
     mixed = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
     split = staged(labelled.join(mixed, "sig").select("sig", "cls", "band", "n", "comp"), "split")
-    vectors = split.select("cls", "band").distinct().join(sets, "cls").select("cls", "band", "shingles").mapInArrow(_vectors, "cls long, band long, v array<int>")
-    split = split.join(vectors, ["cls", "band"])
+    vectors = split.select("cls", "band").distinct().join(sets, "cls").select("cls", "band", "shingles").mapInArrow(_vectors, "cls long, band long, v array<tinyint>")
+    own = split.groupBy("cls", "band").agg(F.collect_list("sig").alias("own"))
+    own = own.select("cls", "band", F.when(F.size("own") <= FEW, F.col("own")).alias("own"))
+    split = split.join(vectors, ["cls", "band"]).join(own, ["cls", "band"])
     x, y = split.alias("x"), split.alias("y")
     fits = lambda a, b: F.col(a) * 100 >= F.col(b) * PERCENT
     # What two sets' bucket counts differ by is a lower bound of what the sets differ by, which k bounds.
     apart = F.aggregate(F.zip_with("x.v", "y.v", lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n") & (apart * 4 <= F.least("x.n", "y.n")))
+    # A pair is taken at its first common signature; where a set has very many it may come more than once.
+    here = F.coalesce(F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.sig"), F.lit(True))
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n") & here & (apart * 4 <= F.least("x.n", "y.n")))
     across = across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = staged(across, "pairs")
     more = verified(second, sets)
