@@ -62,6 +62,12 @@ def recorded() -> Iterator[list[DataFrame]]:
         _recorders.remove(found)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes all tables this application has staged; call it when their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tessera/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for df in frames:
