@@ -125,3 +125,53 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dedup import near_links
 
     return near_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))[0]
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_REACH = """
+reach as (
+  select id, id as other from nodes
+  union select r.id, l.b from reach r join links l on l.a = r.other
+), least as (select id, min(other) as component_id from reach group by id)
+"""
+
+ORACLES["op6_substring_dedup"] = f"""
+with w as (select doc_id, {_WORDS} as ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as i from w where len(ws) >= 20),
+f as (
+  select doc_id, i, row_number() over (partition by array_to_string(ws[i:i + 19], ' ') order by doc_id, i) as nth from p
+), gone as (select distinct doc_id, i + o as i from f, range(20) t(o) where nth > 1),
+e as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+k as (
+  select e.doc_id, count(*) filter (where g.i is not null) as n_removed, string_agg(word, ' ' order by e.i) filter (where g.i is null) as kept
+  from e left join gone g on e.doc_id = g.doc_id and e.i = g.i group by e.doc_id
+)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id
+"""
+
+ORACLES["op10_jaccard_join"] = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as ws from documents
+), s as (
+  select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end) as shingle from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as in_both from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * in_both >= 80 * (p.n + q.n - in_both)),
+nodes as (select doc_id as id from documents),
+{_REACH}
+select id as doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from least left join n on id = doc_id
+"""
+
+ORACLES["op2_near_dedup"] = f"""
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id and list_cosine_similarity(x.e, y.e) >= 0.95),
+nodes as (select vec_id as id from embeddings),
+{_REACH},
+d as (select a, count(*) as n from links group by a)
+select id as vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, id = component_id as kept from least left join d on id = a
+"""
