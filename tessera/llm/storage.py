@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # Rows sent to a Python worker at once: texts can be long.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "4000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
 _recorders: list[list[DataFrame]] = []
 
