@@ -8,11 +8,13 @@
 3. In each shard every vector gets neighbours: near candidates and a few random
    ones, thinned by robust pruning, plus reverse edges.  The adjacency lists of
    a vector's shards are united.
-4. Each vector searches from its shard's medoids (and its own place, if it has
-   one there) by best-first search with a beam, then expands every vector found
-   in range until nothing new is in range.  A shard audits its recall against
-   brute force for a sample of its own vectors and doubles the beam until the
-   recall is high enough.
+4. Each vector searches from an entry in every connected part of the shard's
+   graph, a few random ones and its own place, if it has one there, by
+   best-first search with a beam, then expands every vector found in range until
+   nothing new is in range.  A shard audits its recall against brute force for a
+   sample of its own vectors and one of vectors stored elsewhere, and doubles the
+   beam until both recalls are high enough; where the widest beam does not reach
+   that, or the graph falls into very many parts, the shard is scanned in full.
 5. What is found is verified in double precision.  A pair that meets in several
    clusters counts in the first they share.  Only counts and the edges of local
    spanning trees leave a task, so a dense group sends no pairs.
@@ -50,6 +52,8 @@ RECALL = 0.995
 AUDIT = 64
 MEDOIDS = 8
 _BLOCK = 256
+# Entries above which a shard is scanned: this many, and this share of it.
+_PARTS, _PARTS_OF = 64, 16
 
 
 def _unit(column) -> list[bytes | None]:
@@ -226,6 +230,48 @@ def search(queries: np.ndarray, own: np.ndarray, v: np.ndarray, graph: np.ndarra
             visit(np.repeat(who[a : a + 50_000], real.sum(axis=1)), near[real])
 
 
+def parts(graph: np.ndarray) -> np.ndarray:
+    """Each vector's connected part, named by its least member; padded symmetric lists."""
+    label = np.arange(len(graph))
+    near = np.where(graph >= 0, graph, label[:, None])
+    while True:
+        least = np.minimum(label, label[near].min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _entries(v: np.ndarray, graph: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The medoid of every connected part, and random places."""
+    _, part = np.unique(parts(graph), return_inverse=True)
+    mean = np.zeros((part.max() + 1, v.shape[1]), dtype=v.dtype)
+    np.add.at(mean, part, v)
+    order = np.lexsort((-np.einsum("nd,nd->n", v, mean[part]), part))
+    medoid = order[np.unique(part[order], return_index=True)[1]]
+    return np.unique(np.concatenate([medoid, rng.integers(0, len(v), min(MEDOIDS, len(v)) - 1)]))
+
+
+def choose_beam(v: np.ndarray, graph: np.ndarray, entries: np.ndarray, foreign: np.ndarray, least: float, rng: np.random.Generator) -> tuple[int, int, int]:
+    """(beam, links in the samples, links found); beam 0 where the shard must be scanned.
+
+    foreign: vectors stored elsewhere that ask this shard.
+    """
+    own = rng.choice(len(v), min(AUDIT, len(v)), replace=False)
+    away = foreign[rng.choice(len(foreign), min(AUDIT, len(foreign)), replace=False)] if len(foreign) else foreign
+    audits = [(x, at, x @ v.T >= least) for x, at in ((v[own], own), (away, np.full(len(away), -1))) if len(x)]
+    links = sum(int(truth.sum()) for _, _, truth in audits)
+    if len(entries) > max(_PARTS, len(v) // _PARTS_OF):
+        return 0, links, links
+    beam = BEAM
+    while beam <= MAX_BEAM:
+        got = [int((search(x, at, v, graph, entries, beam, least) & truth).sum()) for x, at, truth in audits]
+        if all(g >= RECALL * truth.sum() for g, (_, _, truth) in zip(got, audits)):
+            return beam, links, sum(got)
+        beam *= 2
+    return 0, links, links
+
+
 def _build_shard(table: pa.Table) -> pa.Table:
     table = table.filter(table.column("stored"))
     ids = table.column("cid").to_numpy()
@@ -260,9 +306,8 @@ def _search_shard(threshold: float):
             at = order[np.minimum(np.searchsorted(member[order], want), len(order) - 1)] if len(want) else want
             lists.append(at[member[at] == want])
         graph = _padded(lists)
-        mean = v.mean(axis=0)
         rng = np.random.default_rng(len(member))
-        entries = np.unique(np.concatenate([[int((v @ mean).argmax())], rng.integers(0, len(v), min(MEDOIDS, len(v)) - 1)]))
+        entries = _entries(v, graph, rng)
         # The earliest cluster that two vectors share counts their link.
         first = np.full((len(ids), MAX_HOME), -1, dtype=np.int64)
         for i, h in enumerate(homes):
@@ -272,15 +317,14 @@ def _search_shard(threshold: float):
         own_place[inside] = np.arange(len(inside))
         # Single precision may lose what is just in range.
         least = threshold - 1e-4
-        beam = BEAM
-        sample = rng.choice(len(inside), min(AUDIT, len(inside)), replace=False)
-        truth = v[sample] @ v.T >= least
-        while True:
-            got = search(v[sample], sample, v, graph, entries, beam, least)
-            recalled = int((got & truth).sum())
-            if recalled >= RECALL * truth.sum() or beam >= MAX_BEAM:
-                break
-            beam *= 2
+        outside = np.flatnonzero(~stored)
+        away = outside[rng.choice(len(outside), min(AUDIT, len(outside)), replace=False)]
+        beam, truth, recalled = choose_beam(v, graph, entries, exact[away].astype(np.float32), least, rng)
+
+        def look(rows: np.ndarray) -> np.ndarray:
+            queries = exact[rows].astype(np.float32)
+            return search(queries, own_place[rows], v, graph, entries, beam, least) if beam else queries @ v.T >= least
+
         links = np.zeros(len(ids), dtype=np.int64)
         root = np.arange(len(ids) + len(inside))
 
@@ -291,12 +335,11 @@ def _search_shard(threshold: float):
             return x
 
         # Stored vectors first and together, so that a link found from one side counts for both.
-        outside = np.flatnonzero(~stored)
         groups = [inside, *[outside[a : a + SHARD] for a in range(0, len(outside), SHARD)]]
         for rows in groups:
             if not len(rows):
                 continue
-            hit = np.concatenate([search(exact[rows[a : a + _BLOCK]].astype(np.float32), own_place[rows[a : a + _BLOCK]], v, graph, entries, beam, least) for a in range(0, len(rows), _BLOCK)])
+            hit = np.concatenate([look(rows[a : a + _BLOCK]) for a in range(0, len(rows), _BLOCK)])
             if rows is inside:
                 hit |= hit.T
                 np.fill_diagonal(hit, False)
@@ -311,7 +354,11 @@ def _search_shard(threshold: float):
                     here &= ~(earlier[x, i] & (first[x, i] >= 0) & shared)
                 np.add.at(links, x[here], weight[y[here]])
                 # Only links between different local trees change anything.
-                for p, t in set(zip(x.tolist(), inside[y].tolist())):
+                while (root[root] != root).any():
+                    root = root[root]
+                p, t = root[x], root[inside[y]]
+                apart = p != t
+                for p, t in set(zip(p[apart].tolist(), t[apart].tolist())):
                     p, t = find(p), find(t)
                     if p != t:
                         root[max(p, t)] = min(p, t)
@@ -319,7 +366,7 @@ def _search_shard(threshold: float):
         use = (links > 0) | (roots != np.arange(len(ids)))
         audited = np.zeros(len(ids), dtype=np.int64)
         recall = np.zeros(len(ids), dtype=np.int64)
-        audited[0], recall[0] = int(truth.sum()), recalled
+        audited[0], recall[0] = truth, recalled
         use[0] = True
         return pa.table({"cid": ids[use], "links": links[use], "root": ids[roots[use]], "audited": audited[use], "recalled": recall[use]})
     return run
