@@ -3,7 +3,9 @@
 1. Equal vectors become one class with a count, so copies cost nothing later.
 2. Centroids of a bounded sample cut the classes into clusters; a vector joins
    every cluster whose centroid is almost as near as its nearest one, so
-   clusters overlap.  A cluster above a size limit is cut into shards by hash:
+   clusters overlap.  How near is almost is measured: a sample is compared with
+   all vectors, and the margin grows until every link of the sample has a
+   cluster in common.  A cluster above a size limit is cut into shards by hash:
    a vector is stored in one shard and asks all shards of its clusters.
 3. In each shard every vector gets neighbours: near candidates and a few random
    ones, thinned by robust pruning, plus reverse edges.  The adjacency lists of
@@ -15,7 +17,11 @@
    sample of its own vectors and one of vectors stored elsewhere, and doubles the
    beam until both recalls are high enough; where the widest beam does not reach
    that, or the graph falls into very many parts, the shard is scanned in full.
-5. What is found is verified in double precision.  A pair that meets in several
+5. The links found for that sample are compared with its true ones over all
+   clusters.  Below the recall bound, or where a vector would be sent to more
+   shards than there are clusters or blocks, all classes are compared block by
+   block, which is exact.
+6. What is found is verified in double precision.  A pair that meets in several
    clusters counts in the first they share.  Only counts and the edges of local
    spanning trees leave a task, so a dense group sends no pairs.
 
@@ -44,12 +50,14 @@ CLUSTER = 1200
 MAX_CLUSTERS = 1024
 SHARD = 4000
 MARGIN = 0.08
-MAX_HOME = 4
 DEGREE, CANDIDATES, RANDOM = 16, 48, 8
 ALPHA = 1.2
 BEAM, MAX_BEAM = 32, 256
 RECALL = 0.995
 AUDIT = 64
+# Vectors compared with all others, and vectors in a block of a full scan.
+TRUTH = 1024
+SCAN = 16_000
 MEDOIDS = 8
 _BLOCK = 256
 # Entries above which a shard is scanned: this many, and this share of it.
@@ -94,22 +102,84 @@ def _k_means(v: np.ndarray, k: int, seed: int = 7, rounds: int = 8) -> np.ndarra
     return centre
 
 
-def _homes(centre: np.ndarray):
-    """The clusters of each vector, nearest first."""
+def _homes(centre: np.ndarray, margin: float):
+    """The clusters of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sim = _matrix(batch.column("unit").to_pylist()) @ centre.T
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :MAX_HOME]
-            near = np.take_along_axis(sim, order, axis=1)
-            use = near >= near[:, :1] - MARGIN
-            homes = [np.sort(o[u]).tolist() for o, u in zip(order, use)]
+            use = sim >= sim.max(axis=1, keepdims=True) - margin
+            homes = [np.flatnonzero(u).tolist() for u in use]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes, pa.list_(pa.int32()))], [*batch.schema.names, "homes"])
     return run
 
 
+def _truth(ids: np.ndarray, sample: np.ndarray, centre: np.ndarray, threshold: float):
+    """Of each sampled vector: its links to a batch, and the least margin that gives each of them a common cluster."""
+
+    def gap(v: np.ndarray) -> np.ndarray:
+        sim = v @ centre.T
+        return sim.max(axis=1, keepdims=True) - sim
+
+    gaps = gap(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            member, copies = batch.column("cid").to_numpy(), batch.column("copies").to_numpy()
+            if not len(member):
+                continue
+            links, margin = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+            units = _matrix(batch.column("unit").to_pylist())
+            for a in range(0, len(member), _BLOCK):
+                v = units[a : a + _BLOCK]
+                hit = (sample @ v.T >= threshold) & (ids[:, None] != member[a : a + _BLOCK])
+                links += hit @ copies[a : a + _BLOCK]
+                who, what = np.nonzero(hit)
+                other = gap(v) if len(who) else None
+                for b in range(0, len(who), 2000):
+                    x, y = who[b : b + 2000], what[b : b + 2000]
+                    np.maximum.at(margin, x, np.maximum(gaps[x], other[y]).min(axis=1))
+            use = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(links[use]), pa.array(margin[use])], ["cid", "links", "margin"])
+    return run
+
+
+def _scan_blocks(threshold: float):
+    """All links between two blocks, or inside one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
+        v = _matrix(table.column("unit").to_pylist())
+        block = table.column("block").to_numpy()
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        label = np.arange(len(ids))
+        links = np.zeros(len(ids), dtype=np.int64)
+        to, weight = v[right], copies[right]
+        for a in range(0, len(left), _BLOCK):
+            rows = left[a : a + _BLOCK]
+            hit = (v[rows] @ to.T >= threshold) & (ids[rows][:, None] != ids[right])
+            links[rows] += hit @ weight
+            if low != high:
+                links[right] += copies[rows] @ hit
+            for i in np.flatnonzero(hit.any(axis=1)):
+                near = np.append(label[right[hit[i]]], label[rows[i]])
+                if (near != near[0]).any():
+                    label[np.isin(label, near)] = near.min()
+        use = (links > 0) | (label != np.arange(len(ids)))
+        return pa.table({"cid": ids[use], "links": links[use], "root": ids[label[use]], "audited": np.zeros(use.sum(), np.int64), "recalled": np.zeros(use.sum(), np.int64)})
+    return run
+
+
+def _scan(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    blocks = max(1, -(-n // SCAN))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
+    rows = classes.withColumn("block", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int")).withColumn("pair", F.explode(pairs))
+    return rows.select("cid", "copies", "unit", "block", "pair.low", "pair.high").groupBy("low", "high").applyInArrow(_scan_blocks(threshold), _FOUND)
+
+
 def prune(v: np.ndarray, node: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Robust pruning: of each node's candidates the nearest, then the next that no chosen one is much nearer to.
 
@@ -309,10 +379,11 @@ def _search_shard(threshold: float):
         rng = np.random.default_rng(len(member))
         entries = _entries(v, graph, rng)
         # The earliest cluster that two vectors share counts their link.
-        first = np.full((len(ids), MAX_HOME), -1, dtype=np.int64)
-        for i, h in enumerate(homes):
-            first[i, : len(h)] = h
-        earlier = first < cluster
+        flat = np.concatenate([np.array(h, dtype=np.int64) for h in homes])
+        at = np.repeat(np.arange(len(ids)), [len(h) for h in homes])
+        at, flat = at[flat < cluster], flat[flat < cluster]
+        earlier = np.zeros((len(ids), cluster // 64 + 1), dtype=np.uint64)
+        np.bitwise_or.at(earlier, (at, flat >> 6), np.uint64(1) << (flat & 63).astype(np.uint64))
         own_place = np.full(len(ids), -1, dtype=np.int64)
         own_place[inside] = np.arange(len(inside))
         # Single precision may lose what is just in range.
@@ -348,10 +419,7 @@ def _search_shard(threshold: float):
                 x, y = rows[who[a : a + 200_000]], what[a : a + 200_000]
                 ok = (np.einsum("nd,nd->n", exact[x], v64[y]) >= threshold) & (ids[x] != member[y])
                 x, y = x[ok], y[ok]
-                here = np.ones(len(x), dtype=bool)
-                for i in range(MAX_HOME):
-                    shared = (first[x, i][:, None] == first[inside[y]]).any(axis=1)
-                    here &= ~(earlier[x, i] & (first[x, i] >= 0) & shared)
+                here = ~(earlier[x] & earlier[inside[y]]).any(axis=1)
                 np.add.at(links, x[here], weight[y[here]])
                 # Only links between different local trees change anything.
                 while (root[root] != root).any():
@@ -372,8 +440,21 @@ def _search_shard(threshold: float):
     return run
 
 
+def _searched(placed: DataFrame, held: list, threshold: float) -> DataFrame:
+    """Links found in the shards of all clusters; held: (cluster, held) rows."""
+    sizes = placed.sparkSession.createDataFrame([(r.cluster, -(-r.held // SHARD)) for r in held], "cluster int, shards int")
+    each = placed.select("*", F.explode("homes").alias("cluster")).join(F.broadcast(sizes), "cluster")
+    own = F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int")
+    asked = each.withColumn("own", own).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    asked = asked.select("cluster", "shard", "cid", "copies", "unit", "homes", (F.col("shard") == F.col("own")).alias("stored"))
+    graph = asked.filter("stored").groupBy("cluster", "shard").applyInArrow(_build_shard, "cid long, near array<long>")
+    union = graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    found = asked.join(union, "cid", "left").groupBy("cluster", "shard").applyInArrow(_search_shard(threshold), _FOUND)
+    return staged(found, "found")
+
+
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 17) -> tuple[DataFrame, float]:
-    """((vec_id, n_links, component_id, kept), measured recall inside shards).
+    """((vec_id, n_links, component_id, kept), recall measured over all vectors).
 
     vectors: vec_id, embedding (array of numbers).
     """
@@ -388,19 +469,22 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 17)
     classes = staged(valid.filter(F.length("unit") == width).groupBy("unit").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
     n = classes.count()
     centre = _k_means(_matrix([s for s in sample if len(s) == width]), min(MAX_CLUSTERS, -(-n // CLUSTER)))
-    placed = staged(classes.mapInArrow(_homes(centre), "unit binary, cid long, copies long, homes array<int>"), "homes")
+    probe = classes.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(TRUTH).select("cid", "unit").toArrow()
+    ids = probe.column("cid").to_numpy()
+    truth = classes.mapInArrow(_truth(ids, _matrix(probe.column("unit").to_pylist()), centre, threshold), "cid long, links long, margin double")
+    # At most TRUTH rows.
+    truth = truth.groupBy("cid").agg(F.sum("links").alias("links"), F.max("margin").alias("margin")).toPandas()
+    margin = max([MARGIN, *(truth.margin + 1e-9)])
+    placed = staged(classes.mapInArrow(_homes(centre, margin), "unit binary, cid long, copies long, homes array<int>"), "homes")
     # At most MAX_CLUSTERS rows.
-    sizes = placed.select(F.explode("homes").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("held"))
-    sizes = F.broadcast(sizes.select("cluster", F.ceil(F.col("held") / SHARD).cast("int").alias("shards")))
-    each = placed.select("*", F.explode("homes").alias("cluster")).join(sizes, "cluster")
-    own = F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int")
-    asked = each.withColumn("own", own).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    asked = asked.select("cluster", "shard", "cid", "copies", "unit", "homes", (F.col("shard") == F.col("own")).alias("stored"))
-    graph = asked.filter("stored").groupBy("cluster", "shard").applyInArrow(_build_shard, "cid long, near array<long>")
-    union = graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = asked.join(union, "cid", "left").groupBy("cluster", "shard").applyInArrow(_search_shard(threshold), _FOUND)
-    found = staged(found, "found")
-    audit = found.agg(F.sum("audited").alias("a"), F.sum("recalled").alias("r")).first()
+    sizes = placed.select(F.explode("homes").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("held")).collect()
+    found, recall = None, 0.0
+    if sum(r.held * -(-r.held // SHARD) for r in sizes) <= n * max(len(centre), -(-n // SCAN)):
+        found = _searched(placed, sizes, threshold)
+        got = found.filter(F.col("cid").isin(truth.cid.tolist())).agg(F.sum("links")).first()[0] or 0
+        recall = got / truth.links.sum() if len(truth) else 1.0
+    if found is None or recall < RECALL:
+        found, recall = staged(_scan(classes, n, threshold), "scanned"), 1.0
     edges = found.filter("root <> cid").select(F.col("cid").alias("a"), F.col("root").alias("b"))
     joined = components(edges)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
@@ -409,4 +493,4 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 17)
     least = valid.join(per, "unit").select("vec_id", "n_links", "component_id")
     rest = rows.filter(F.col("unit").isNull() | (F.length("unit") != width)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = least.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    return out, (audit.r / audit.a if audit and audit.a else 1.0)
+    return out, recall

@@ -53,3 +53,36 @@ def test_links_between_shards(spark, monkeypatch):
     for r in out:
         got[r.vec_id] = r.n_links
     assert (got <= want).all() and got.sum() >= 0.995 * want.sum() > 0
+
+
+def spread(n=2400, dim=5, seed=6):
+    v = np.random.default_rng(seed).normal(size=(n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sim = v @ v.T
+    return v, (sim >= 0.95).sum(axis=1) - 1
+
+
+def found_of(spark, v):
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    out, recall = N.near_links(df)
+    got = np.zeros(len(v), dtype=np.int64)
+    for r in out.collect():
+        got[r.vec_id] = r.n_links
+    return got, recall
+
+
+def test_links_between_clusters(spark, monkeypatch):
+    monkeypatch.setattr(N, "CLUSTER", 40)
+    v, want = spread()
+    got, recall = found_of(spark, v)
+    assert (got <= want).all() and got.sum() >= 0.995 * want.sum() > 1000 and recall >= N.RECALL
+
+
+def test_all_are_compared_when_recall_stays_low(spark, monkeypatch):
+    monkeypatch.setattr(N, "CLUSTER", 40)
+    monkeypatch.setattr(N, "SCAN", 700)
+    # A search that loses its links must not be accepted.
+    monkeypatch.setattr(N, "_searched", lambda placed, held, threshold: placed.select("cid", *[N.F.lit(0).cast("long").alias(c) for c in ("links", "root", "audited", "recalled")]))
+    v, want = spread()
+    got, recall = found_of(spark, v)
+    assert (got == want).all() and recall == 1.0
