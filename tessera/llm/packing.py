@@ -13,7 +13,8 @@ By default a source's share is its share of all tokens and all queues run dry
 together; a queue that runs dry early leaves its windows to the others.
 
 Ids are those of the tokenizer file.  The byte-level BPE engine used reads the
-vocabulary of that file and gives the same ids as its own library, faster.
+vocabulary of that file and gives the same ids as its own library, faster; an
+added token of the file that stands in a text gets its own id, as there.
 
 Cases: null text is empty text, whose one piece is the separator; rows that
 repeat are packed as often as they occur; a null source is a queue of its own;
@@ -51,12 +52,13 @@ def encoder(path: str):
     import tiktoken
     import public_tokenizers
 
-    vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+    file = json.load(open(path, encoding="utf-8"))
+    vocab = file["model"]["vocab"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {"<|endoftext|>"}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def default_tokenizer() -> str:
@@ -84,7 +86,7 @@ def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
-                ids = [np.append(enc.encode_to_numpy(t, disallowed_special=()), SEPARATOR).astype("<u2").tobytes() for t in texts[a:b]]
+                ids = [np.append(enc.encode_to_numpy(t, allowed_special="all"), SEPARATOR).astype("<u2").tobytes() for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(a, b - a) for c in ("row_id", "doc_id", "source")],
                      pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
