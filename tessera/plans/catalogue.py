@@ -187,6 +187,16 @@ def join_dimension(c: Catalog) -> DataFrame:
     return nations.join(Plan.scan(c, "supplier", "s_nationkey"), ["n_nationkey"], ["s_nationkey"]).group_by(["n_name"], ops.count("suppliers")).df
 
 
+@query("select o_orderkey, o_totalprice, o_custkey from orders order by o_orderkey, o_totalprice, o_custkey limit 100000")
+def topk_largek_full(c: Catalog) -> DataFrame:
+    return Plan.scan(c, "orders").top_k(["o_orderkey", "o_totalprice", "o_custkey"], 100000).df
+
+
+@query("select cast(sum(id) as bigint) as s from range(1, 1000000001) as t(id)")
+def range_sum_full(c: Catalog) -> DataFrame:
+    return ops.global_aggregate(c.spark.range(1, 1000000001), ops.sum_("id", "s"))
+
+
 @query("select cast(sum(id) as bigint) as s from range(1, 1000001) as t(id)")
 def range_sum(c: Catalog) -> DataFrame:
     return ops.global_aggregate(c.spark.range(1, 1000001), ops.sum_("id", "s"))
@@ -202,6 +212,16 @@ def distinct_groups_approx(c: Catalog) -> DataFrame:
     return Plan.scan(c, "orders", "o_custkey").aggregate(ops.ndv("o_custkey", "ndv")).df
 
 
+@query("select l_quantity as c1, l_linenumber as c2, l_orderkey as c3 from lineitem order by 1, 2, 3")
+def merge_sorted_runs_full(c: Catalog) -> DataFrame:
+    lines = c.scan("lineitem", ["l_quantity", "l_linenumber", "l_orderkey", "l_returnflag"])
+    cols = [F.col("l_quantity").alias("c1"), F.col("l_linenumber").alias("c2"), F.col("l_orderkey").alias("c3")]
+    flag = F.col("l_returnflag")
+    runs = [lines.filter(flag == f).select(*cols) for f in ("A", "N", "R")]
+    runs.append(lines.filter(flag.isNull() | ~flag.isin("A", "N", "R")).select(*cols))
+    return ops.merge_runs(runs, ["c1", "c2", "c3"])
+
+
 @query("select l_quantity as c1, l_linenumber as c2, l_orderkey as c3 from lineitem where l_shipdate < date '1995-06-01' order by 1, 2, 3")
 def merge_sorted_runs(c: Catalog) -> DataFrame:
     lines = c.scan("lineitem", ["l_quantity", "l_linenumber", "l_orderkey", "l_returnflag", "l_shipdate"])
