@@ -124,11 +124,12 @@ def _profiles(seed: int):
             for a in range(0, len(data), SLICE):
                 part = data[a : a + SLICE]
                 n, cls, cls2, sigs, heads, bad, seen = [], [], [], [], [], 0, set()
-                for s in shingle_sets(part):
+                doc_ids = batch.column("doc_id").slice(a, len(part)).to_pylist()
+                for doc_id, s in zip(doc_ids, shingle_sets(part)):
                     c = _class(s)
                     n.append(len(s)), cls.append(c)
                     cls2.append(int((mix(s + _C2).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
-                    if len(s) <= 3 or c in seen:
+                    if doc_id is None or len(s) <= 3 or c in seen:
                         continue
                     seen.add(c)
                     top = band_top(len(s))
@@ -139,7 +140,7 @@ def _profiles(seed: int):
                         sigs.append(sig)
                         heads.append((c, t, k, len(sig), len(s)))
                 row = {
-                    "doc_id": batch.column("doc_id").slice(a, len(part)).to_pylist(), "n": n, "cls": cls, "cls2": cls2, "bad": bad,
+                    "doc_id": doc_ids, "n": n, "cls": cls, "cls2": cls2, "bad": bad,
                     "heads": np.array(heads, dtype=np.int64).tobytes(), "sigs": b"".join(x.tobytes() for x in sigs),
                 }
                 yield pa.RecordBatch.from_pylist([row], _PROFILE)
