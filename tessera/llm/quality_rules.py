@@ -6,9 +6,8 @@ bucket the weight log(p_trusted / p_raw); a document's score is the mean weight
 of its n-grams, so length does not matter, and it is kept if the score reaches
 a fixed threshold and no base rule fails.  Column functions only.
 
-Raw counts cover all documents.  The trusted texts are labelled ones, at most
-`max_trusted` of them, taken in hash order; that bound makes their ids small
-enough to broadcast.  The weight table has 2 * buckets rows, whatever the
+Raw counts cover all documents, trusted counts all trusted texts.  Their ids
+are joined as Spark chooses, by broadcast only where they are few.  The weight table has 2 * buckets rows, whatever the
 corpus.
 
 A window repeat inside a document is found by 64-bit hashes of its words.
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from tessera.llm.storage import staged
 
 BUCKETS = 1 << 16
-MAX_TRUSTED = 20_000
 THRESHOLD = -0.2
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -103,11 +101,11 @@ def n_grams(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     return grams
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """(gram, weight) over all documents; trusted: doc_id of trusted texts, of which max_trusted are used."""
-    few = trusted.select(F.col("doc_id").cast("long").alias("_t")).distinct().orderBy(F.xxhash64("_t"), "_t").limit(max_trusted)
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(gram, weight) over all documents; trusted: doc_id of trusted texts."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("_t")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    marked = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().cast("int").alias("good"), "w")
+    marked = rows.join(ids, F.col("doc_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().cast("int").alias("good"), "w")
     counts = n_grams(marked, ["good"], buckets).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
     counts = staged(counts, "grams")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
@@ -117,13 +115,13 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_tru
     return counts.select("gram", F.log(smooth("good") / smooth("raw")).alias("weight"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, the base counts, score, base_failed, kept; one row a document.  docs: doc_id, text."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = base_counts(docs)
     keep = ["row_id", "doc_id", *counts]
     # At most 2 * buckets rows.
-    table = F.broadcast(weights(docs, trusted, buckets, max_trusted))
+    table = F.broadcast(weights(docs, trusted, buckets))
     scored = n_grams(base, keep, buckets).join(table, "gram", "left")
     out = scored.groupBy("row_id").agg(F.sum("weight").alias("total"), F.count("weight").alias("grams"), *[F.max(c).alias(c) for c in keep[1:]])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
