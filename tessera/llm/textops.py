@@ -3,14 +3,17 @@
 A word is a maximal run of bytes other than space and \\t..\\r, which in UTF-8
 is the same as `[^\\x20\\x09-\\x0D]+` on code points.  All hashes are fixed
 functions of the bytes, so equal words have equal hashes in every process.
+A hash only proposes that words are equal; `Words.codes` names them exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 
 # Bytes of text worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 500_000
@@ -34,21 +37,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, key: str, n: int) -> np.ndarray:
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size == CHUNK_BYTES + 1:
-            _powers[key] = have
-    return have[:n]
+# Each place of a sequence has its own odd factor.
+_FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * _BASE) | np.uint64(1)
+# Words of more bytes than this are hashed one by one.
+_LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 @dataclass
@@ -72,13 +65,32 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(self.texts), self.counts())
 
+    def codes(self) -> tuple[np.ndarray, list[bytes]]:
+        """(each word's place in the list, the distinct words): equal numbers mean equal words."""
+        size = self.end - self.start
+        at = np.zeros(len(size) + 1, dtype=np.int64)
+        np.cumsum(size, out=at[1:])
+        kept = np.ascontiguousarray(self.buf[~WHITE[self.buf]])
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
+        return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        sums = np.empty(len(self.buf) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_VALUES[self.buf] * _power(_BASE, "up", len(self.buf)), out=sums[1:])
-        own = (sums[self.end] - sums[self.start]) * _power(_INVERSE, "down", len(self.buf))[self.start]
-        return mix(own + (self.end - self.start).astype(np.uint64) * _GOLDEN)
+        """A 64-bit hash of each word's bytes: 8 bytes a step, each step mixed; of long words a cryptographic one."""
+        size = self.end - self.start
+        room = np.concatenate([self.buf, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray(len(self.buf), dtype="<u8", buffer=room, strides=(1,))
+        out = mix(size.astype(np.uint64) * _GOLDEN)
+        at = np.arange(len(size))
+        for done in range(0, _LONG_WORD, 8):
+            if done:
+                at = at[size[at] > done]
+            if not len(at):
+                break
+            step = eight[self.start[at] + done] & _MASKS[np.minimum(size[at] - done, 8)]
+            out[at] = mix(out[at] ^ step)
+        for w in np.flatnonzero(size > _LONG_WORD).tolist():
+            out[w] = int.from_bytes(blake2b(self.buf[self.start[w] : self.end[w]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def word_table(data: list[bytes], lower: bool = False) -> Words:
@@ -100,11 +112,10 @@ def sequences(hashes: np.ndarray, n: int) -> np.ndarray:
     size = len(hashes) - n + 1
     if size <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(size, dtype=np.uint64)
+    out = np.full(size, n, dtype=np.uint64)
     for j in range(n):
-        out *= _BASE
-        out += hashes[j : j + size]
-    return mix(out + np.uint64(n))
+        out += hashes[j : j + size] * _FACTORS[j]
+    return mix(out)
 
 
 def chunks(data: list[bytes], limit: int = CHUNK_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
