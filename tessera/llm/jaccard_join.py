@@ -13,17 +13,21 @@ a set's e non-empty segments are equal in its partner.
   shares fewer than e - k signatures with any other set has no partner and
   leaves.  Any other set probes only its k + 1 rarest signatures, which is
   still complete, and costs least; unshared signatures need no probe at all.
-- Verification.  In every signature group each set is compared with the most
-  central one; links found join sets into components.  Then, in groups that
-  still hold several components, pairs across components are compared unless
-  the counts of their shingles by bucket already differ by more than k.  So
-  every link that could join two components is verified exactly, and no group
-  is expanded into all its pairs.  Comparisons run in two-dimensional blocks.
-
-Equal sets are one class from the start.  Signatures of very large groups of
-near copies are found by counting in a sample and marked as shared where they
-stand; what the sample misses goes through the exchange, so results do not
-depend on it.  Should a set be left with no more
+- Verification, on words and not on hashes.  Each set is compared with the most
+  central set of its signature groups, at first with the one it meets in most of
+  them, then with the others whose component is not its own; what is left in
+  groups that hold several components is compared with a few pivots of each.
+  Then, in groups that still hold several components, pairs across components
+  are compared unless the counts of their shingles by bucket already differ by
+  more than k.  So every link that could join two components is verified
+  exactly, and no group is expanded into all its pairs.
+
+Equal sets are one class from the start.  A signature is sent as 5 bytes and the
+group they lie in; a false match only costs a comparison.  Signatures of very
+large groups of near copies are found by counting in a sample and marked as
+shared where they stand; what the sample misses goes through the exchange, so
+results do not depend on it.  Only texts of sets that probe are exchanged; a
+bit map of fixed size keeps most others back.  Should a set be left with no more
 than k non-empty segments, or two classes share a fingerprint, the next hash
 seed is taken, so the pigeonhole argument always holds.
 
@@ -50,13 +54,18 @@ SHINGLE = 5
 # 100 * intersection >= PERCENT * union.
 PERCENT = 80
 TINY, SMALL = 7, 63
-# Documents whose signatures are packed together.
-SLICE = 512
-SIGNATURES_PER_GROUP = 1_000_000
+# Signatures packed together, or documents where they have few.
+SLICE_SIGNATURES, SLICE_DOCS = 1_000_000, 32_768
+SIGNATURES_PER_GROUP = 4_000_000
+# Bytes of a signature that are sent.
+SIGNATURE_BYTES = 5
 # Signatures that more sets than this seem to have, by a count over one class in HEAVY_SAMPLE, are known
 # to be shared and need no exchange; at most HEAVY_MOST, the heaviest, so that they can be broadcast.
 HEAVY, HEAVY_SAMPLE, HEAVY_MOST = 100_000, 64, 100_000
+# Words of the bit map of documents, of 64 bits each.
+MAP_WORDS = 1 << 18
 BLOCK_BYTES = 8_000_000
+PIVOTS = 3
 FEW = 128
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
@@ -119,37 +128,46 @@ def _profiles(seed: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row: dict = {}
+        seen: set[int] = set()
+        held = 0
+
+        def full() -> pa.RecordBatch:
+            packed = row | {"heads": np.array(row["heads"], dtype=np.int64).tobytes(), "sigs": b"".join(row["sigs"])}
+            return pa.RecordBatch.from_pylist([packed], _PROFILE)
+
         for batch in batches:
-            data = encoded(batch.column("text"))
-            for a in range(0, len(data), SLICE):
-                part = data[a : a + SLICE]
-                n, cls, cls2, sigs, heads, bad, seen = [], [], [], [], [], 0, set()
-                doc_ids = batch.column("doc_id").slice(a, len(part)).to_pylist()
-                for doc_id, s in zip(doc_ids, shingle_sets(part)):
+            data, doc_ids = encoded(batch.column("text")), batch.column("doc_id").to_pylist()
+            for a in range(0, len(data), 512):
+                for doc_id, s in zip(doc_ids[a : a + 512], shingle_sets(data[a : a + 512])):
+                    if not row:
+                        row = {"doc_id": [], "n": [], "cls": [], "cls2": [], "bad": 0, "heads": [], "sigs": []}
                     c = _class(s)
-                    n.append(len(s)), cls.append(c)
-                    cls2.append(int((mix(s + _C2).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
-                    if doc_id is None or len(s) <= 3 or c in seen:
-                        continue
-                    seen.add(c)
-                    top = band_top(len(s))
-                    below = TINY if top == SMALL else (top - 1) // 2 if top > SMALL else 0
-                    for t in [top, *([below] if len(s) * 4 <= below * 5 else [])]:
-                        sig, k = _signatures(s, t, seed)
-                        bad += len(sig) <= k
-                        sigs.append(sig)
-                        heads.append((c, t, k, len(sig), len(s)))
-                row = {
-                    "doc_id": doc_ids, "n": n, "cls": cls, "cls2": cls2, "bad": bad,
-                    "heads": np.array(heads, dtype=np.int64).tobytes(), "sigs": b"".join(x.tobytes() for x in sigs),
-                }
-                yield pa.RecordBatch.from_pylist([row], _PROFILE)
+                    row["doc_id"].append(doc_id), row["n"].append(len(s)), row["cls"].append(c)
+                    row["cls2"].append(int((mix(s + _C2).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)))
+                    if doc_id is not None and len(s) > 3 and c not in seen:
+                        seen.add(c)
+                        top = band_top(len(s))
+                        below = TINY if top == SMALL else (top - 1) // 2 if top > SMALL else 0
+                        for t in [top, *([below] if len(s) * 4 <= below * 5 else [])]:
+                            sig, k = _signatures(s, t, seed)
+                            row["bad"] += int(len(sig) <= k)
+                            row["sigs"].append(sig.tobytes())
+                            row["heads"].append((c, t, k, len(sig), len(s)))
+                            held += len(sig)
+                    if held >= SLICE_SIGNATURES or len(row["n"]) >= SLICE_DOCS:
+                        yield full()
+                        row, seen, held = {}, set(), 0
+        if row:
+            yield full()
     return run
 
 
 _LONGS = pa.list_(pa.int64())
 _PROFILE = pa.schema([("doc_id", _LONGS), ("n", _LONGS), ("cls", _LONGS), ("cls2", _LONGS), ("bad", pa.int64()), ("heads", pa.binary()), ("sigs", pa.binary())])
-_FOUND = "slice long, owners binary, sigs binary, dfs binary"
+_FOUND = "slice long, g long, owners binary, sigs binary, dfs binary"
+_FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
+_LOW = np.uint64((1 << 8 * SIGNATURE_BYTES) - 1)
 
 
 def _entries(heads: bytes, sigs: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -166,26 +184,39 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[(cls % HEAVY_SAMPLE == 0)[owner]])], ["sig"])
 
 
-def _packed(slices: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+def _split(sig: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, the bytes of it that are sent) of each signature."""
+    sig = sig.view(np.uint64)
+    return (sig % np.uint64(groups)).astype(np.int64), sig // np.uint64(groups) & _LOW
+
+
+def _packed(slices: list[int], group: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
     return [
-        pa.array(slices, pa.int64()), pa.array([steps(o) for o, _, _ in parts], pa.binary()),
-        pa.array([s.tobytes() for _, s, _ in parts], pa.binary()), pa.array([planes(d.astype(np.int64), 8) for _, _, d in parts], pa.binary()),
+        pa.array(slices, pa.int64()), pa.array(group, pa.int64()), pa.array([steps(o) for o, _, _ in parts], pa.binary()),
+        pa.array([planes(s, SIGNATURE_BYTES) for _, s, _ in parts], pa.binary()), pa.array([planes(d.astype(np.int64), 6) for _, _, d in parts], pa.binary()),
     ]
 
 
-def _marked(heavy: np.ndarray, df: np.ndarray):
+def _by_group(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cut)).tolist():
+        yield g, order[cut[g] : cut[g + 1]]
+
+
+def _marked(groups: int, heavy: np.ndarray, df: np.ndarray):
     """The heavy signatures of each slice, as rows like those of _shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slices, parts = [], []
             for sl, heads, sigs in zip(*(batch.column(c).to_pylist() for c in ("slice", "heads", "sigs"))):
                 owner, sig = _entries(heads, sigs)
                 place = np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)
                 hit = heavy[place] == sig
-                if hit.any():
-                    slices.append(sl), parts.append((owner[hit], sig[hit], df[place[hit]]))
-            yield pa.RecordBatch.from_arrays(_packed(slices, parts), [f.split()[0] for f in _FOUND.split(", ")])
+                owner, many = owner[hit], df[place[hit]]
+                group, low = _split(sig[hit], groups)
+                found = list(_by_group(group, groups))
+                yield pa.RecordBatch.from_arrays(_packed([sl] * len(found), [g for g, _ in found], [(owner[x], low[x], many[x]) for _, x in found]), _FOUND_NAMES)
     return run
 
 
@@ -199,13 +230,11 @@ def _deal(groups: int, heavy: np.ndarray):
                 if len(heavy):
                     light = ~np.isin(sig, heavy)
                     owner, sig = owner[light], sig[light]
-                group = (sig.view(np.uint64) % np.uint64(groups)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                cut = np.searchsorted(group[order], np.arange(groups + 1))
-                ids = np.flatnonzero(np.diff(cut))
-                at = [order[cut[g] : cut[g + 1]] for g in ids]
+                group, low = _split(sig, groups)
+                found = list(_by_group(group, groups))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([sl] * len(ids), pa.int64()), pa.array([steps(owner[x]) for x in at], pa.binary()), pa.array([sig[x].tobytes() for x in at], pa.binary())],
+                    [pa.array([g for g, _ in found], pa.int64()), pa.array([sl] * len(found), pa.int64()), pa.array([steps(owner[x]) for _, x in found], pa.binary()),
+                     pa.array([planes(low[x], SIGNATURE_BYTES) for _, x in found], pa.binary())],
                     ["g", "slice", "owners", "sigs"],
                 )
     return run
@@ -217,9 +246,9 @@ def _shared(table: pa.Table) -> pa.Table:
     owners = [from_steps(o) for o in table.column("owners").to_pylist()]
     row = np.repeat(np.arange(len(slices), dtype=np.int32), [len(o) for o in owners])
     owner = np.concatenate(owners)
-    sig = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.int64)
+    sig = np.concatenate([from_planes(x, SIGNATURE_BYTES, np.uint64) for x in table.column("sigs").to_pylist()])
     order = np.argsort(sig, kind="stable")
-    start = np.flatnonzero(np.diff(sig[order], prepend=sig[order[0]] - 1) != 0)
+    start = np.flatnonzero(np.diff(sig[order], prepend=~sig[order[0]]) != 0)
     df = np.diff(np.append(start, len(sig)))
     order, df = order[np.repeat(df, df) > 1], df[df > 1]
     df = np.repeat(df, df)
@@ -227,11 +256,11 @@ def _shared(table: pa.Table) -> pa.Table:
     at, df = order[back], df[back]
     used, begin = np.unique(row[at], return_index=True)
     parts = [(owner[at[a:b]], sig[at[a:b]], df[a:b]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
-    return pa.Table.from_arrays(_packed(slices[used].tolist(), parts), [f.split()[0] for f in _FOUND.split(", ")])
+    return pa.Table.from_arrays(_packed(slices[used].tolist(), [table.column("g")[0].as_py()] * len(parts), parts), _FOUND_NAMES)
 
 
 def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes of each class that can have a partner: of e signatures the k + 1 rarest, without those not shared.
+    """Probes of each class and band that can have a partner: of e signatures the k + 1 rarest, without those not shared.
 
     rank: a larger share of shared signatures first; such a set is central
     among near copies.
@@ -239,9 +268,10 @@ def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for heads, found in zip(*(batch.column(c).to_pylist() for c in ("heads", "found"))):
             h = np.frombuffer(heads, np.int64).reshape(-1, 5)
-            owner = np.concatenate([from_steps(f["owners"]) for f in found])
-            sig = np.frombuffer(b"".join(f["sigs"] for f in found), np.int64)
-            df = np.concatenate([from_planes(f["dfs"], 8, np.int64) for f in found])
+            owners = [from_steps(f["owners"]) for f in found]
+            owner = np.concatenate(owners)
+            sig = np.concatenate([from_planes(f["sigs"], SIGNATURE_BYTES, np.uint64).astype(np.int64) + (f["g"] << 8 * SIGNATURE_BYTES) for f in found])
+            df = np.concatenate([from_planes(f["dfs"], 6, np.int64) for f in found])
             order = np.lexsort((sig, df, owner))
             owner, sig = owner[order], sig[order]
             count = np.bincount(owner, minlength=len(h))
@@ -249,64 +279,109 @@ def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spare = h[:, 2] + 1 - (h[:, 3] - count)
             keep = place < spare[owner]
             owner, sig = owner[keep], sig[keep]
-            rank = ((count << 20) // np.maximum(h[:, 3], 1) << 32) + (h[:, 0] & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[owner, 0], h[owner, 1], h[owner, 4], rank[owner], sig)], ["cls", "band", "n", "rank", "sig"])
+            used, begin = np.unique(owner, return_index=True)
+            rank = ((count << 14) // np.maximum(h[:, 3], 1) << 48) + (h[:, 0] & 0xFFFFFFFFFFFF)
+            sigs = pa.ListArray.from_arrays(pa.array(np.append(begin, len(sig)).astype(np.int32)), pa.array(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[used, 0], h[used, 1], h[used, 4], rank[used])] + [sigs], ["cls", "band", "n", "rank", "sigs"])
+
+
+def exact_sets(data: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's sorted distinct shingles, named by numbers that stand for the very words.
+
+    Texts of fewer than n words get a name of their own.
+    """
+    table = word_table(data, lower=True)
+    name = table.codes()
+    size = max(0, len(name) - n + 1)
+    word, many = name.astype(np.int64), int(name.max(initial=0)) + 1
+    run = word[:size]
+    for j in range(1, n):
+        run = pa.array(run * many + word[j : j + size]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return [np.unique(run[s : e - n + 1]) if e - s >= n else np.array([-1 - i]) for i, (s, e) in enumerate(zip(table.first[:-1].tolist(), table.first[1:].tolist()))]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles of a set fall into each of some buckets; the more, the larger the band."""
     for batch in batches:
         out = []
-        for band, data in zip(batch.column("band").to_pylist(), batch.column("shingles").to_pylist()):
+        for band, s in zip(batch.column("band").to_pylist(), shingle_sets(encoded(batch.column("text")))):
             size = min(512, max(64, (band + 1) // 2))
             # Cut at 127, counts differ by no more than before.
-            count = np.bincount((mix(np.frombuffer(data, np.uint64) + _C2) % np.uint64(size)).astype(np.int64), minlength=size)
+            count = np.bincount((mix(s + _C2) % np.uint64(size)).astype(np.int64), minlength=size)
             out.append(np.minimum(count, 127).astype(np.int8))
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("band"), pa.array(out, pa.list_(pa.int8()))], ["cls", "band", "v"])
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data = encoded(batch.column("text"))
-        for a in range(0, len(data), 512):
-            sets = shingle_sets(data[a : a + 512])
-            yield pa.RecordBatch.from_arrays([pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
+        texts = batch.column("text")
+        data = encoded(texts)
+        classes = [_class(s) for a in range(0, len(data), 512) for s in shingle_sets(data[a : a + 512])]
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), texts], ["cls", "text"])
 
 
 def _verify_block(table: pa.Table) -> pa.Table:
-    sets = {c: np.frombuffer(s, np.uint64) for c, s in zip(table.column("a").to_pylist(), table.column("shingles").to_pylist()) if s is not None}
+    text = table.filter(table.column("text").is_valid())
+    sets = dict(zip(text.column("a").to_pylist(), exact_sets(encoded(text.column("text")))))
+    pairs = table.filter(table.column("text").is_null())
     a, b = [], []
-    for x, y, s in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), table.column("shingles").to_pylist()):
-        if s is None:
-            p, q = sets[x], sets[y]
-            if len(p) > len(q):
-                p, q = q, p
-            if 100 * len(p) < PERCENT * len(q):
-                continue
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int((q[at] == p).sum())
-            if 100 * both >= PERCENT * (len(p) + len(q) - both):
-                a.append(x), b.append(y)
+    for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+        p, q = sets[x], sets[y]
+        if len(p) > len(q):
+            p, q = q, p
+        if 100 * len(p) < PERCENT * len(q):
+            continue
+        at = np.searchsorted(q, p)
+        at[at == len(q)] = 0
+        both = int((q[at] == p).sum())
+        if 100 * both >= PERCENT * (len(p) + len(q) - both):
+            a.append(x), b.append(y)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that link.  pairs: staged; sets: (cls, shingles), staged.
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that link.  pairs: staged, distinct; texts: (cls, text, size), staged.
 
-    Each pair belongs to block (a's side, b's side); a set is sent once to each
-    block that needs it.
+    A pair belongs to a block of its a, or to a part of it where very much text
+    is compared with a; so a b that has one a is sent once.
     """
-    size = sets.agg(F.sum(F.length("shingles"))).first()[0] or 0
-    sides = max(1, int((size / BLOCK_BYTES) + 1))
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
-    placed = pairs.select("a", "b", (side("a") * sides + side("b")).alias("block"))
+    blocks = max(1, int((texts.agg(F.sum("size")).first()[0] or 0) / BLOCK_BYTES) + 1)
+    heavy = pairs.join(texts.select(F.col("cls").alias("b"), "size"), "b").groupBy("a").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("parts")).filter("parts > 1")
+    part = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
+    placed = pairs.join(heavy, "a", "left").select("a", "b", F.coalesce(part, F.pmod(F.xxhash64("a"), F.lit(blocks))).alias("block"))
     needed = placed.select(F.col("a").alias("cls"), "block").unionByName(placed.select(F.col("b").alias("cls"), "block")).distinct()
-    sent = needed.join(sets, "cls").select("block", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = placed.select("block", "a", "b", F.lit(None).cast("binary").alias("shingles")).unionByName(sent)
+    sent = needed.join(texts, "cls").select("block", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = placed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
     return rows.groupBy("block").applyInArrow(_verify_block, "a long, b long")
 
 
+def _mapped(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of texts whose doc_id is in ids, and a few others: a bit map of MAP_WORDS words tells them apart."""
+    hashed = F.xxhash64("doc_id")
+    word, bit = F.pmod(hashed, F.lit(MAP_WORDS)), F.shiftrightunsigned(hashed, 40).bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    table = ids.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # At most MAP_WORDS rows of two numbers.
+    return texts.join(F.broadcast(table), word == F.col("_word")).filter(F.col("_bits").bitwiseAND(one) != 0).select(*texts.columns)
+
+
+class _Labels:
+    """Component of every class that probes; takes links in, and stays a table of (cls, comp)."""
+
+    def __init__(self, classes: DataFrame):
+        self.table = classes.select("cls", F.col("cls").alias("comp"))
+
+    def of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
+        return rows.join(self.table.select(F.col("cls").alias(column), F.col("comp").alias(name)), column)
+
+    def take(self, links: DataFrame) -> None:
+        """Joins the components that links (a, b) connect."""
+        edges = self.of(self.of(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(edges)
+        moved = self.table.join(joined.withColumnRenamed("node", "comp"), "comp", "left")
+        self.table = staged(moved.select("cls", F.coalesce("component", "comp").alias("comp")), "labels")
+
+
 def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row a document.  docs: doc_id, text."""
     small_batches(docs.sparkSession)
@@ -329,47 +404,72 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     heavy = most.column("sig").to_numpy()
     found = entries.mapInArrow(_deal(groups, heavy), "g long, slice long, owners binary, sigs binary").groupBy("g").applyInArrow(_shared, _FOUND)
     if len(heavy):
-        found = found.unionByName(entries.mapInArrow(_marked(heavy, most.column("df").to_numpy() * HEAVY_SAMPLE), _FOUND))
-    found = found.groupBy("slice").agg(F.collect_list(F.struct("owners", "sigs", "dfs")).alias("found"))
-    probes = found.join(entries.select("slice", "heads"), "slice").select("heads", "found").mapInArrow(_allocated, "cls long, band long, n long, rank long, sig long")
-    # A class that several slices hold is there from each of them.
-    probes = staged(probes.distinct(), "probes")
+        found = found.unionByName(entries.mapInArrow(_marked(groups, heavy, most.column("df").to_numpy() * HEAVY_SAMPLE), _FOUND))
+    found = found.groupBy("slice").agg(F.collect_list(F.struct("g", "owners", "sigs", "dfs")).alias("found"))
+    probes = found.join(entries.select("slice", "heads"), "slice").select("heads", "found").mapInArrow(_allocated, "cls long, band long, n long, rank long, sigs array<long>")
+    # A class that several slices hold is there from each of them, alike.
+    first = [F.first(c).alias(c) for c in ("n", "rank", "sigs")]
+    probes = staged(probes.groupBy("cls", "band").agg(*first), "probes", "zstd")
     drop_staged(profile)
 
     heads = probes.select("cls").distinct()
-    picked = named.join(heads, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "cls")
-    chosen = texts.join(picked.select("doc_id").hint("shuffle_hash"), "doc_id")
-    sets = staged(chosen.mapInArrow(_set_rows, "cls long, shingles binary").join(heads, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    picked = named.join(heads, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    chosen = _mapped(texts, picked).select("text").mapInArrow(_classed, "cls long, text string").join(heads, "cls", "left_semi")
+    chosen = staged(chosen.groupBy("cls").agg(F.first("text").alias("text")).withColumn("size", F.octet_length("text").cast("long")), "texts", "zstd")
+    labels = _Labels(heads)
 
     # Aggregates combine before the exchange, and the joins' large groups can be split.
-    centre = probes.groupBy("sig").agg(F.max_by("cls", "rank").alias("a"), F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("sig", "a")
-    star = probes.join(centre, "sig").filter("cls <> a").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"))
-    first = staged(star.distinct(), "pairs")
-    links = staged(verified(first, sets), "links")
-    joined = components(links)
-
-    labelled = probes.join(joined, F.col("cls") == F.col("node"), "left").select("sig", "cls", "band", "n", F.coalesce("component", "cls").alias("comp"))
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-    split = staged(labelled.join(mixed, "sig").select("sig", "cls", "band", "n", "comp"), "split")
-    vectors = split.select("cls", "band").distinct().join(sets, "cls").select("cls", "band", "shingles").mapInArrow(_vectors, "cls long, band long, v array<tinyint>")
-    own = split.groupBy("cls", "band").agg(F.collect_list("sig").alias("own"))
+    members = probes.select("cls", "rank", F.explode("sigs").alias("sig"))
+    centre = members.groupBy("sig").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("sig", "top")
+    star = staged(members.join(centre, "sig").filter("rank <> top").select("sig", "cls", "top"), "star")
+    meets = star.groupBy("cls", "top").agg(F.count(F.lit(1)).alias("often"))
+    meets = staged(meets.join(probes.select(F.col("rank").alias("top"), F.col("cls").alias("a")), "top").filter("a <> cls").select("a", F.col("cls").alias("b"), "top", "often"), "meets")
+    best = staged(meets.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b"), "pairs")
+    labels.take(verified(best, chosen))
+    apart = lambda rows: labels.of(labels.of(rows, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
+    others = staged(apart(meets.join(best, ["a", "b"], "left_anti").select("a", "b").distinct()), "pairs")
+    labels.take(verified(others, chosen))
+
+    # Signatures of several components, and all their sets.
+    loose = apart(meets.select("a", "b").distinct()).join(meets, ["a", "b"]).select(F.col("b").alias("cls"), "top").distinct()
+    mixed = star.join(loose, ["cls", "top"]).select("sig").distinct()
+    split = staged(probes.select("cls", "band", "n", F.explode("sigs").alias("sig")).join(mixed, "sig"), "split")
+    tested = meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    turns = [F.max_by("cls", F.xxhash64("cls", F.lit(j))) for j in range(PIVOTS)]
+    pivots = split.groupBy("sig").agg(F.array_distinct(F.array(*turns)).alias("pivots")).select("sig", F.explode("pivots").alias("a"))
+    led = split.select("sig", F.col("cls").alias("b")).join(pivots, "sig").filter("a <> b").select("a", "b").distinct()
+    led = staged(_untested(apart(led), tested), "pairs")
+    labels.take(verified(led, chosen))
+    tested = tested.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    left = labels.of(split, "cls", "comp")
+    mixed = left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
+    left = staged(left.join(mixed, "sig").select("sig", "cls", "band", "n", "comp"), "left")
+    vectors = left.select("cls", "band").distinct().join(chosen, "cls").select("cls", "band", "text").mapInArrow(_vectors, "cls long, band long, v array<tinyint>")
+    own = left.groupBy("cls", "band").agg(F.collect_list("sig").alias("own"))
     own = own.select("cls", "band", F.when(F.size("own") <= FEW, F.col("own")).alias("own"))
-    split = split.join(vectors, ["cls", "band"]).join(own, ["cls", "band"])
-    x, y = split.alias("x"), split.alias("y")
+    whole = left.join(vectors, ["cls", "band"]).join(own, ["cls", "band"])
+    x, y = whole.alias("x"), whole.alias("y")
     fits = lambda a, b: F.col(a) * 100 >= F.col(b) * PERCENT
     # What two sets' bucket counts differ by is a lower bound of what the sets differ by, which k bounds.
-    apart = F.aggregate(F.zip_with("x.v", "y.v", lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
+    differ = F.aggregate(F.zip_with("x.v", "y.v", lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
     # A pair is taken at its first common signature; where a set has very many it may come more than once.
     here = F.coalesce(F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.sig"), F.lit(True))
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n") & here & (apart * 4 <= F.least("x.n", "y.n")))
-    across = across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = staged(across, "pairs")
-    more = verified(second, sets)
-    joined = components(links.unionByName(more))
-    drop_staged(probes, sets, first, second)
-
-    rows = named.join(joined, F.col("cls") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "cls").alias("comp"))
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n") & here & (differ * 4 <= F.least("x.n", "y.n")))
+    across = staged(_untested(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), tested), "pairs")
+    labels.take(verified(across, chosen))
+    drop_staged(probes, chosen, star, meets, best, others, split, led, left, across)
+
+    rows = named.join(labels.table, "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     full = rows.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = slim.filter("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(rest)
+    out = staged(full.unionByName(rest), "linked")
+    drop_staged(slim, labels.table)
+    return out
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """pairs (a, b) without those in tested, whose a is the lesser."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    return pairs.join(tested.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (low == F.col("_a")) & (high == F.col("_b")), "left_anti")

@@ -20,20 +20,35 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "4000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
 _recorders: list[list[DataFrame]] = []
+_marked: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder of staged tables; what is left there goes when the driver ends."""
+    folder = f"{checkpoint_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        _marked.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return folder
+
+
 def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df once and returns the table read back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path

@@ -65,14 +65,14 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(self.texts), self.counts())
 
-    def codes(self) -> tuple[np.ndarray, list[bytes]]:
-        """(each word's place in the list, the distinct words): equal numbers mean equal words."""
+    def codes(self) -> np.ndarray:
+        """A number for each word; equal numbers mean equal words."""
         size = self.end - self.start
         at = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=at[1:])
         kept = np.ascontiguousarray(self.buf[~WHITE[self.buf]])
-        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(kept)]).dictionary_encode()
-        return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(kept)])
+        return found.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes: 8 bytes a step, each step mixed; of long words a cryptographic one."""
