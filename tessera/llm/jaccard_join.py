@@ -13,8 +13,8 @@ a set's e non-empty segments are equal in its partner.
   shares fewer than e - k signatures with any other set has no partner and
   leaves.  Any other set probes only its k + 1 rarest signatures, which is
   still complete, and costs least; unshared signatures need no probe at all.
-- Verification, on words and not on hashes.  Each set is compared with the most
-  central set of its signature groups, at first with the one it meets in most of
+- Verification, on words and not on hashes.  Each set is compared with the
+  leading set of its signature groups, at first with the one it meets in most of
   them, then with the others whose component is not its own; what is left in
   groups that hold several components is compared with a few pivots of each.
   Then, in groups that still hold several components, pairs across components
@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -66,7 +66,7 @@ HEAVY, HEAVY_SAMPLE, HEAVY_MOST = 100_000, 64, 100_000
 MAP_WORDS = 1 << 18
 BLOCK_BYTES = 8_000_000
 PIVOTS = 3
-FEW = 128
+FEW = 32
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
 
@@ -165,7 +165,7 @@ def _profiles(seed: int):
 
 _LONGS = pa.list_(pa.int64())
 _PROFILE = pa.schema([("doc_id", _LONGS), ("n", _LONGS), ("cls", _LONGS), ("cls2", _LONGS), ("bad", pa.int64()), ("heads", pa.binary()), ("sigs", pa.binary())])
-_FOUND = "slice long, g long, owners binary, sigs binary, dfs binary"
+_FOUND = "slice long, g long, owners binary, sigs binary, dfs binary, heads binary, places binary"
 _FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 _LOW = np.uint64((1 << 8 * SIGNATURE_BYTES) - 1)
 
@@ -180,8 +180,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for heads, sigs in zip(*(batch.column(c).to_pylist() for c in ("heads", "sigs"))):
             owner, sig = _entries(heads, sigs)
-            cls = np.frombuffer(heads, np.int64).reshape(-1, 5)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[(cls % HEAVY_SAMPLE == 0)[owner]])], ["sig"])
+            cls = np.frombuffer(heads, np.int64).reshape(-1, 5)[:, 0][owner]
+            use = cls % HEAVY_SAMPLE == 0
+            yield pa.RecordBatch.from_arrays([pa.array(sig[use]), pa.array(cls[use])], ["sig", "cls"])
 
 
 def _split(sig: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,11 +191,10 @@ def _split(sig: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return (sig % np.uint64(groups)).astype(np.int64), sig // np.uint64(groups) & _LOW
 
 
-def _packed(slices: list[int], group: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
-    return [
-        pa.array(slices, pa.int64()), pa.array(group, pa.int64()), pa.array([steps(o) for o, _, _ in parts], pa.binary()),
-        pa.array([planes(s, SIGNATURE_BYTES) for _, s, _ in parts], pa.binary()), pa.array([planes(d.astype(np.int64), 6) for _, _, d in parts], pa.binary()),
-    ]
+def _packed(slices: list[int], group: list[int], parts: list[tuple[np.ndarray, ...]]) -> list[pa.Array]:
+    """parts: owner, signature, its number of sets, and slice and place of its leading set, by entry."""
+    wide = lambda i, width: pa.array([planes(p[i].astype(np.int64), width) for p in parts], pa.binary())
+    return [pa.array(slices, pa.int64()), pa.array(group, pa.int64()), pa.array([steps(p[0]) for p in parts], pa.binary()), pa.array([planes(p[1], SIGNATURE_BYTES) for p in parts], pa.binary()), wide(2, 6), wide(3, 8), wide(4, 4)]
 
 
 def _by_group(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -205,7 +205,7 @@ def _by_group(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def _marked(groups: int, heavy: np.ndarray, df: np.ndarray):
-    """The heavy signatures of each slice, as rows like those of _shared."""
+    """The heavy signatures of each slice, as rows like those of _shared; their leading set's place is theirs in `heavy`, in slice -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,10 +213,11 @@ def _marked(groups: int, heavy: np.ndarray, df: np.ndarray):
                 owner, sig = _entries(heads, sigs)
                 place = np.minimum(np.searchsorted(heavy, sig), len(heavy) - 1)
                 hit = heavy[place] == sig
-                owner, many = owner[hit], df[place[hit]]
+                owner, place = owner[hit], place[hit]
                 group, low = _split(sig[hit], groups)
                 found = list(_by_group(group, groups))
-                yield pa.RecordBatch.from_arrays(_packed([sl] * len(found), [g for g, _ in found], [(owner[x], low[x], many[x]) for _, x in found]), _FOUND_NAMES)
+                parts = [(owner[x], low[x], df[place[x]], np.full(len(x), -1), place[x]) for _, x in found]
+                yield pa.RecordBatch.from_arrays(_packed([sl] * len(found), [g for g, _ in found], parts), _FOUND_NAMES)
     return run
 
 
@@ -241,7 +242,7 @@ def _deal(groups: int, heavy: np.ndarray):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one group, the signatures found twice or more, with their number, by slice."""
+    """Of one group, the signatures found twice or more, with their number and the last set that has them, by slice."""
     slices = table.column("slice").to_numpy()
     owners = [from_steps(o) for o in table.column("owners").to_pylist()]
     row = np.repeat(np.arange(len(slices), dtype=np.int32), [len(o) for o in owners])
@@ -250,39 +251,48 @@ def _shared(table: pa.Table) -> pa.Table:
     order = np.argsort(sig, kind="stable")
     start = np.flatnonzero(np.diff(sig[order], prepend=~sig[order[0]]) != 0)
     df = np.diff(np.append(start, len(sig)))
-    order, df = order[np.repeat(df, df) > 1], df[df > 1]
-    df = np.repeat(df, df)
+    lead = np.repeat(order[start + df - 1], df)
+    many = np.repeat(df, df)
+    order, lead, df = order[many > 1], lead[many > 1], many[many > 1]
     back = np.argsort(order, kind="stable")
-    at, df = order[back], df[back]
+    at, lead, df = order[back], lead[back], df[back]
     used, begin = np.unique(row[at], return_index=True)
-    parts = [(owner[at[a:b]], sig[at[a:b]], df[a:b]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
+    parts = [(owner[at[a:b]], sig[at[a:b]], df[a:b], slices[row[lead[a:b]]], owner[lead[a:b]]) for a, b in zip(begin, np.append(begin[1:], len(at)))]
     return pa.Table.from_arrays(_packed(slices[used].tolist(), [table.column("g")[0].as_py()] * len(parts), parts), _FOUND_NAMES)
 
 
+_ALLOCATED = "cls long, band long, n long, sigs array<long>, head array<long>, place array<int>"
+
+
 def _allocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Probes of each class and band that can have a partner: of e signatures the k + 1 rarest, without those not shared.
 
-    rank: a larger share of shared signatures first; such a set is central
-    among near copies.
+    head, place: slice and place of each probe's leading set.
     """
     for batch in batches:
         for heads, found in zip(*(batch.column(c).to_pylist() for c in ("heads", "found"))):
             h = np.frombuffer(heads, np.int64).reshape(-1, 5)
-            owners = [from_steps(f["owners"]) for f in found]
-            owner = np.concatenate(owners)
+            owner = np.concatenate([from_steps(f["owners"]) for f in found])
             sig = np.concatenate([from_planes(f["sigs"], SIGNATURE_BYTES, np.uint64).astype(np.int64) + (f["g"] << 8 * SIGNATURE_BYTES) for f in found])
-            df = np.concatenate([from_planes(f["dfs"], 6, np.int64) for f in found])
+            df, head, place = (np.concatenate([from_planes(f[c], width, np.int64) for f in found]) for c, width in (("dfs", 6), ("heads", 8), ("places", 4)))
             order = np.lexsort((sig, df, owner))
-            owner, sig = owner[order], sig[order]
+            owner = owner[order]
             count = np.bincount(owner, minlength=len(h))
-            place = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            nth = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
             spare = h[:, 2] + 1 - (h[:, 3] - count)
-            keep = place < spare[owner]
-            owner, sig = owner[keep], sig[keep]
+            keep = nth < spare[owner]
+            owner, order = owner[keep], order[keep]
             used, begin = np.unique(owner, return_index=True)
-            rank = ((count << 14) // np.maximum(h[:, 3], 1) << 48) + (h[:, 0] & 0xFFFFFFFFFFFF)
-            sigs = pa.ListArray.from_arrays(pa.array(np.append(begin, len(sig)).astype(np.int32)), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[used, 0], h[used, 1], h[used, 4], rank[used])] + [sigs], ["cls", "band", "n", "rank", "sigs"])
+            cut = pa.array(np.append(begin, len(owner)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x[order])) for x in (sig, head, place.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[used, 0], h[used, 1], h[used, 4])] + lists, [f.split()[0] for f in _ALLOCATED.split(", ")])
+
+
+def _head_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for sl, heads in zip(*(batch.column(c).to_pylist() for c in ("slice", "heads"))):
+            cls = np.ascontiguousarray(np.frombuffer(heads, np.int64).reshape(-1, 5)[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), sl)), pa.array(np.arange(len(cls), dtype=np.int32)), pa.array(cls)], ["head", "place", "a"])
 
 
 def exact_sets(data: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
@@ -300,24 +310,24 @@ def exact_sets(data: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(run[s : e - n + 1]) if e - s >= n else np.array([-1 - i]) for i, (s, e) in enumerate(zip(table.first[:-1].tolist(), table.first[1:].tolist()))]
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of a set fall into each of some buckets; the more, the larger the band."""
-    for batch in batches:
-        out = []
-        for band, s in zip(batch.column("band").to_pylist(), shingle_sets(encoded(batch.column("text")))):
-            size = min(512, max(64, (band + 1) // 2))
-            # Cut at 127, counts differ by no more than before.
-            count = np.bincount((mix(s + _C2) % np.uint64(size)).astype(np.int64), minlength=size)
-            out.append(np.minimum(count, 127).astype(np.int8))
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("band"), pa.array(out, pa.list_(pa.int8()))], ["cls", "band", "v"])
+def _vector(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each of some buckets; the more, the larger its band."""
+    size = min(512, max(64, (band_top(len(s)) + 1) // 4))
+    # Cut at 127, counts differ by no more than before.
+    return np.minimum(np.bincount((mix(s + _C2) % np.uint64(size)).astype(np.int64), minlength=size), 127).astype(np.int8)
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, size, bucket counts and text."""
     for batch in batches:
         texts = batch.column("text")
         data = encoded(texts)
-        classes = [_class(s) for a in range(0, len(data), 512) for s in shingle_sets(data[a : a + 512])]
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), texts], ["cls", "text"])
+        for a in range(0, len(data), 512):
+            sets = shingle_sets(data[a : a + 512])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vector(s) for s in sets], pa.list_(pa.int8())), texts.slice(a, 512)],
+                ["cls", "n", "v", "text"],
+            )
 
 
 def _verify_block(table: pa.Table) -> pa.Table:
@@ -339,20 +349,35 @@ def _verify_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _near(x: str, y: str) -> Column:
+    """Whether two sets (structs of n and v) may link: by size, and by the counts of their shingles by bucket.
+
+    What the counts differ by is a lower bound of what the sets differ by,
+    which k bounds; only sets of one vector length can be told apart so.
+    """
+    n, m, v, w = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.v"), F.col(f"{y}.v")
+    differ = F.aggregate(F.zip_with(v, w, lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & ((F.size(v) != F.size(w)) | (differ * 4 <= F.least(n, m)))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that link.  pairs: staged, distinct; texts: (cls, text, size), staged.
+    """Pairs (a, b) of classes that link.  pairs: distinct; texts: (cls, n, v, text, size), staged.
 
     A pair belongs to a block of its a, or to a part of it where very much text
     is compared with a; so a b that has one a is sent once.
     """
+    known = lambda c: texts.select(F.col("cls").alias(c), F.struct("n", "v", "size").alias(f"{c}_"))
+    pairs = staged(pairs.join(known("a"), "a").join(known("b"), "b").filter(_near("a_", "b_")).select("a", "b", F.col("b_.size").alias("size")), "pairs")
     blocks = max(1, int((texts.agg(F.sum("size")).first()[0] or 0) / BLOCK_BYTES) + 1)
-    heavy = pairs.join(texts.select(F.col("cls").alias("b"), "size"), "b").groupBy("a").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("parts")).filter("parts > 1")
+    heavy = pairs.groupBy("a").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("parts")).filter("parts > 1")
     part = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
-    placed = pairs.join(heavy, "a", "left").select("a", "b", F.coalesce(part, F.pmod(F.xxhash64("a"), F.lit(blocks))).alias("block"))
-    needed = placed.select(F.col("a").alias("cls"), "block").unionByName(placed.select(F.col("b").alias("cls"), "block")).distinct()
-    sent = needed.join(texts, "cls").select("block", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    placed = staged(pairs.join(heavy, "a", "left").select("a", "b", F.coalesce(part, F.pmod(F.xxhash64("a"), F.lit(blocks))).alias("block")), "placed")
+    needed = staged(placed.select(F.col("a").alias("cls"), "block").unionByName(placed.select(F.col("b").alias("cls"), "block")).distinct(), "needed")
+    sent = needed.join(texts.select("cls", "text"), "cls").select("block", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = placed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
-    return rows.groupBy("block").applyInArrow(_verify_block, "a long, b long")
+    links = staged(rows.groupBy("block").applyInArrow(_verify_block, "a long, b long"), "links")
+    drop_staged(pairs, placed, needed)
+    return links
 
 
 def _mapped(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -399,66 +424,61 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     named = slim.filter("doc_id is not null")
     groups = max(1, -(-(state.size or 0) // (8 * SIGNATURES_PER_GROUP)))
     entries = profile.select("slice", "heads", "sigs").filter(F.length("heads") > 0)
-    seen = entries.select("heads", "sigs").mapInArrow(_sampled, "sig long").groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    seen = entries.select("heads", "sigs").mapInArrow(_sampled, "sig long, cls long").groupBy("sig").agg(F.count(F.lit(1)).alias("df"), F.max("cls").alias("a"))
     most = seen.filter(F.col("df") * HEAVY_SAMPLE >= HEAVY).orderBy(F.desc("df"), "sig").limit(HEAVY_MOST).toArrow().sort_by("sig")
     heavy = most.column("sig").to_numpy()
     found = entries.mapInArrow(_deal(groups, heavy), "g long, slice long, owners binary, sigs binary").groupBy("g").applyInArrow(_shared, _FOUND)
     if len(heavy):
         found = found.unionByName(entries.mapInArrow(_marked(groups, heavy, most.column("df").to_numpy() * HEAVY_SAMPLE), _FOUND))
-    found = found.groupBy("slice").agg(F.collect_list(F.struct("g", "owners", "sigs", "dfs")).alias("found"))
-    probes = found.join(entries.select("slice", "heads"), "slice").select("heads", "found").mapInArrow(_allocated, "cls long, band long, n long, rank long, sigs array<long>")
+    found = found.groupBy("slice").agg(F.collect_list(F.struct("g", "owners", "sigs", "dfs", "heads", "places")).alias("found"))
+    probes = found.join(entries.select("slice", "heads"), "slice").select("heads", "found").mapInArrow(_allocated, _ALLOCATED)
     # A class that several slices hold is there from each of them, alike.
-    first = [F.first(c).alias(c) for c in ("n", "rank", "sigs")]
+    first = [F.first(c).alias(c) for c in ("n", "sigs", "head", "place")]
     probes = staged(probes.groupBy("cls", "band").agg(*first), "probes", "zstd")
-    drop_staged(profile)
 
     heads = probes.select("cls").distinct()
     picked = named.join(heads, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = _mapped(texts, picked).select("text").mapInArrow(_classed, "cls long, text string").join(heads, "cls", "left_semi")
-    chosen = staged(chosen.groupBy("cls").agg(F.first("text").alias("text")).withColumn("size", F.octet_length("text").cast("long")), "texts", "zstd")
+    chosen = _mapped(texts, picked).select("text").mapInArrow(_classed, "cls long, n long, v array<tinyint>, text string").join(heads, "cls", "left_semi")
+    first = [F.first(c).alias(c) for c in ("n", "v", "text")]
+    chosen = staged(chosen.groupBy("cls").agg(*first).withColumn("size", F.octet_length("text").cast("long")), "texts", "zstd")
     labels = _Labels(heads)
+    apart = lambda rows: labels.of(labels.of(rows, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
 
-    # Aggregates combine before the exchange, and the joins' large groups can be split.
-    members = probes.select("cls", "rank", F.explode("sigs").alias("sig"))
-    centre = members.groupBy("sig").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("sig", "top")
-    star = staged(members.join(centre, "sig").filter("rank <> top").select("sig", "cls", "top"), "star")
-    meets = star.groupBy("cls", "top").agg(F.count(F.lit(1)).alias("often"))
-    meets = staged(meets.join(probes.select(F.col("rank").alias("top"), F.col("cls").alias("a")), "top").filter("a <> cls").select("a", F.col("cls").alias("b"), "top", "often"), "meets")
-    best = staged(meets.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b"), "pairs")
+    # Every set and the leading sets of its signatures.
+    leads = entries.select("slice", "heads").mapInArrow(_head_rows, "head long, place int, a long")
+    if len(heavy):
+        leads = leads.unionByName(docs.sparkSession.createDataFrame(pa.table({"head": np.full(len(heavy), -1), "place": np.arange(len(heavy), dtype=np.int32), "a": most.column("a")})))
+    meets = probes.select("cls", F.explode(F.arrays_zip("head", "place")).alias("at")).groupBy("cls", "at").agg(F.count(F.lit(1)).alias("often"))
+    meets = meets.select("cls", "often", "at.head", "at.place").join(leads, ["head", "place"]).filter("a <> cls")
+    meets = staged(meets.groupBy("a", F.col("cls").alias("b")).agg(F.sum("often").alias("often")), "meets")
+    drop_staged(profile)
+    best = meets.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
     labels.take(verified(best, chosen))
-    apart = lambda rows: labels.of(labels.of(rows, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
-    others = staged(apart(meets.join(best, ["a", "b"], "left_anti").select("a", "b").distinct()), "pairs")
-    labels.take(verified(others, chosen))
+    labels.take(verified(apart(meets), chosen))
 
     # Signatures of several components, and all their sets.
-    loose = apart(meets.select("a", "b").distinct()).join(meets, ["a", "b"]).select(F.col("b").alias("cls"), "top").distinct()
-    mixed = star.join(loose, ["cls", "top"]).select("sig").distinct()
-    split = staged(probes.select("cls", "band", "n", F.explode("sigs").alias("sig")).join(mixed, "sig"), "split")
-    tested = meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = probes.select("cls", "band", F.explode("sigs").alias("sig"))
+    reach = labels.of(members, "cls", "comp").groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = staged(reach.filter("low < high").select("sig"), "mixed")
+    split = staged(members.join(mixed, "sig"), "split")
     turns = [F.max_by("cls", F.xxhash64("cls", F.lit(j))) for j in range(PIVOTS)]
     pivots = split.groupBy("sig").agg(F.array_distinct(F.array(*turns)).alias("pivots")).select("sig", F.explode("pivots").alias("a"))
     led = split.select("sig", F.col("cls").alias("b")).join(pivots, "sig").filter("a <> b").select("a", "b").distinct()
-    led = staged(_untested(apart(led), tested), "pairs")
+    led = staged(_untested(apart(led), meets), "led")
     labels.take(verified(led, chosen))
-    tested = tested.unionByName(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
     left = labels.of(split, "cls", "comp")
-    mixed = left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig")
-    left = staged(left.join(mixed, "sig").select("sig", "cls", "band", "n", "comp"), "left")
-    vectors = left.select("cls", "band").distinct().join(chosen, "cls").select("cls", "band", "text").mapInArrow(_vectors, "cls long, band long, v array<tinyint>")
+    mixed = staged(left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "mixed")
+    left = staged(left.join(mixed, "sig").select("sig", "cls", "band", "comp"), "left")
     own = left.groupBy("cls", "band").agg(F.collect_list("sig").alias("own"))
     own = own.select("cls", "band", F.when(F.size("own") <= FEW, F.col("own")).alias("own"))
-    whole = left.join(vectors, ["cls", "band"]).join(own, ["cls", "band"])
-    x, y = whole.alias("x"), whole.alias("y")
-    fits = lambda a, b: F.col(a) * 100 >= F.col(b) * PERCENT
-    # What two sets' bucket counts differ by is a lower bound of what the sets differ by, which k bounds.
-    differ = F.aggregate(F.zip_with("x.v", "y.v", lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
+    whole = left.join(chosen.select("cls", "n", "v"), "cls").join(own, ["cls", "band"])
     # A pair is taken at its first common signature; where a set has very many it may come more than once.
     here = F.coalesce(F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.sig"), F.lit(True))
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & fits("x.n", "y.n") & fits("y.n", "x.n") & here & (differ * 4 <= F.least("x.n", "y.n")))
-    across = staged(_untested(across.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct(), tested), "pairs")
-    labels.take(verified(across, chosen))
-    drop_staged(probes, chosen, star, meets, best, others, split, led, left, across)
+    across = whole.alias("x").join(whole.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & here & _near("x", "y"))
+    across = across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    labels.take(verified(_untested(across, meets.select("a", "b").unionByName(led)), chosen))
+    drop_staged(probes, chosen, meets, mixed, split, led, left)
 
     rows = named.join(labels.table, "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -470,6 +490,6 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    """pairs (a, b) without those in tested, whose a is the lesser."""
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return pairs.join(tested.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (low == F.col("_a")) & (high == F.col("_b")), "left_anti")
+    """pairs (a, b) without those in tested, whichever way round."""
+    tested = tested.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b")).distinct()
+    return pairs.join(tested, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
