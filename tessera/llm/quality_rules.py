@@ -3,19 +3,30 @@
 A document's words and word pairs are hashed into buckets.  Two multinomials
 over the buckets, of the trusted texts and of the whole corpus, give every
 bucket the weight log(p_trusted / p_raw); a document's score is the mean weight
-of its n-grams, so length does not matter, and it is kept if the score reaches
-a fixed threshold and no base rule fails.  Column functions only.
+of its n-grams, so length does not matter.  Column functions only.
+
+Folds.  Every document has a fold by its doc_id, and is scored by the trusted
+texts of the other folds only, whether it is trusted itself or not; so being on
+the list raises no score.
+
+Smoothing.  The trusted multinomial is drawn towards the raw one by a Dirichlet
+prior that weighs as much as `prior` times the trusted texts.
+
+Threshold.  The score that all but the share `quantile` of the trusted documents
+reach that pass the base rules, read from an exact count of scores rounded to
+thousandths.  Each document that passes the base rules and reaches it is kept.
 
 Raw counts cover all documents, trusted counts all trusted texts.  Their ids
-are joined as Spark chooses, by broadcast only where they are few.  The weight table has 2 * buckets rows, whatever the
-corpus.
+are joined as Spark chooses, by broadcast only where they are few.  The weight
+table has 2 * buckets rows of one weight a fold, whatever the corpus.
 
 A window repeat inside a document is found by 64-bit hashes of its words.
 
 Cases: null and empty texts have no words, so they fail the base rules and
-score 0; repeated rows are judged each by itself; without trusted texts the
-ratio is 0 for all and only base rules decide; an empty table gives no rows;
-other columns are ignored; a null doc_id is kept as null.
+score 0; repeated rows are judged each by itself; without trusted texts in other
+folds a score is 0, and without trusted texts that pass the base rules these
+alone decide; a score equal to the threshold is kept; an empty table gives no
+rows; other columns are ignored; a null doc_id is kept as null, in fold 0.
 """
 
 from __future__ import annotations
@@ -26,7 +37,9 @@ from pyspark.sql import functions as F
 from tessera.llm.storage import staged
 
 BUCKETS = 1 << 16
-THRESHOLD = -0.2
+FOLDS = 4
+PRIOR = 1.0
+QUANTILE = 0.02
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -76,6 +89,10 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def fold(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0)).cast("int")
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
     """(row_id, doc_id, w, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -101,30 +118,50 @@ def n_grams(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     return grams
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(gram, weight) over all documents; trusted: doc_id of trusted texts."""
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+    """(gram, weight): a weight for each fold, by the trusted texts of the others; trusted: doc_id of trusted texts."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("_t")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    marked = rows.join(ids, F.col("doc_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().cast("int").alias("good"), "w")
-    counts = n_grams(marked, ["good"], buckets).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
+    marked = rows.join(ids, F.col("doc_id") == F.col("_t"), "left").select(F.when(F.col("_t").isNotNull(), fold(F.col("doc_id"))).alias("fold"), "w")
+    good = [F.count_if(F.col("fold") == k).alias(f"good{k}") for k in range(FOLDS)]
+    counts = n_grams(marked, ["fold"], buckets).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), *good)
     counts = staged(counts, "grams")
-    total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
-    if not total.good:
-        return counts.select("gram", F.lit(0.0).alias("weight"))
-    smooth = lambda c: (F.col(c) + F.lit(0.5)) / F.lit(float(total[c]) + 0.5 * 2 * buckets)
-    return counts.select("gram", F.log(smooth("good") / smooth("raw")).alias("weight"))
-
-
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    total = counts.agg(*[F.sum(c).alias(c) for c in counts.columns[1:]]).first()
+    each = []
+    for k in range(FOLDS):
+        others = [f"good{j}" for j in range(FOLDS) if j != k]
+        held = sum(total[c] or 0 for c in others)
+        share = F.col("raw") / F.lit(float(total.raw or 1))
+        seen = sum((F.col(c) for c in others), F.lit(0)) + share * (prior * held)
+        each.append(F.log(seen / (share * ((1 + prior) * held))) if held else F.lit(0.0))
+    return counts.select("gram", F.array(*each).alias("weight"))
+
+
+def threshold_of(scored: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> float:
+    """The score that all but a share of the trusted documents that pass the base rules reach; -inf without any."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("_t")).distinct()
+    good = scored.filter("not base_failed").join(ids, F.col("doc_id") == F.col("_t"), "left_semi")
+    # A row for each thousandth a score can take, some 20,000 at most.
+    table = good.groupBy(F.floor(F.col("score") * 1000).alias("at")).agg(F.count(F.lit(1)).alias("n")).orderBy("at").collect()
+    below, spare = 0, int(quantile * sum(r.n for r in table))
+    for r in table:
+        below += r.n
+        if below > spare:
+            return r["at"] / 1000
+    return float("-inf")
+
+
+def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, the base counts, score, base_failed, kept; one row a document.  docs: doc_id, text."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    base = base_counts(docs)
-    keep = ["row_id", "doc_id", *counts]
+    base = base_counts(docs).withColumn("fold", fold(F.col("doc_id")))
+    keep = ["row_id", "doc_id", "fold", *counts]
     # At most 2 * buckets rows.
-    table = F.broadcast(weights(docs, trusted, buckets))
-    scored = n_grams(base, keep, buckets).join(table, "gram", "left")
+    table = F.broadcast(weights(docs, trusted, buckets, prior))
+    scored = n_grams(base, keep, buckets).join(table, "gram", "left").withColumn("weight", F.get("weight", F.col("fold")))
     out = scored.groupBy("row_id").agg(F.sum("weight").alias("total"), F.count("weight").alias("grams"), *[F.max(c).alias(c) for c in keep[1:]])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    score = F.when(F.col("grams") > 0, F.col("total") / F.col("grams")).otherwise(0.0)
-    out = out.select("doc_id", *counts, score.alias("score"), failed.alias("base_failed"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.round("score", 9) >= threshold))
+    # Sums in another order differ in their last digits only.
+    score = F.when(F.col("grams") > 0, F.round(F.col("total") / F.col("grams"), 9)).otherwise(0.0)
+    out = staged(out.select("doc_id", *counts, score.alias("score"), failed.alias("base_failed")), "scores")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold_of(out, trusted, quantile))))
