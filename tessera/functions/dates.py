@@ -23,7 +23,7 @@ def lenient_date(s: Column) -> Column:
     2023-02-31 is 2023-03-03.  Text of another form, a year over 9999, a month
     over 12 or a day over 31 gives null.
     """
-    part = lambda i: F.regexp_extract(F.trim(s), r"^(\d{1,4})-(\d{1,2})-(\d{1,2})$", i)
-    y, m, d = (F.try_to_number(F.nullif(part(i), F.lit("")), F.lit("9999")).cast("int") for i in (1, 2, 3))
-    ok = m.between(1, 12) & d.between(1, 31)
-    return F.when(ok, F.date_add(F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1)), d - 1))
+    text = F.trim(s)
+    form = text.rlike(r"^\d{1,4}-\d{1,2}-\d{1,2}$")
+    y, m, d = (F.split_part(text, F.lit("-"), F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    return F.when(form & m.between(1, 12) & d.between(1, 31), F.date_add(F.make_date(y, m, F.lit(1)), d - 1))

@@ -30,6 +30,16 @@ def ndv(column: str, name: str, rsd: float = 0.05) -> Column:
     return F.approx_count_distinct(column, rsd).alias(name)
 
 
+def ndv_sketch(column: str, name: str, bits: int = 12) -> Column:
+    """A HyperLogLog sketch that can be kept and merged with others."""
+    return F.hll_sketch_agg(column, bits).alias(name)
+
+
+def ndv_merged(sketch: str, name: str) -> Column:
+    """The estimate of all sketches together."""
+    return F.hll_sketch_estimate(F.hll_union_agg(sketch)).alias(name)
+
+
 def ndv_exact(column: str, name: str) -> Column:
     return F.count_distinct(column).alias(name)
 

@@ -68,10 +68,15 @@ def _two_dims(keys: DataFrame, a: str, b: str) -> DataFrame:
     """Sweep: least b for each a, then those below every smaller a's b.
 
     The running minimum is taken inside ranges of a and over the ranges, so no
-    task sorts the whole input.
+    task sorts the whole input.  Ranges have fixed bounds, one for each shuffle
+    partition, so a task that runs again deals rows alike.
     """
     least = keys.groupBy(a).agg(F.min(b).alias(b))
-    ranged = least.repartitionByRange(a).withColumn("_p", F.spark_partition_id())
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # At most one bound for each shuffle partition.
+    bounds = keys.agg(F.percentile_approx(a, [i / n for i in range(1, n)] or [0.5], 1000)).first()[0]
+    number = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(bounds or []))]), lambda x: x <= F.col(a))) if bounds else F.lit(0)
+    ranged = least.withColumn("_p", number)
     before = (
         ranged.groupBy("_p").agg(F.min(b).alias("_m"))
         .withColumn("_before", F.min("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
@@ -84,12 +89,12 @@ def _two_dims(keys: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _gathered(keys: DataFrame, dims: list[str]) -> DataFrame:
-    """Local frontiers, merged in rounds of shrinking partition count."""
+    """Local frontiers, merged in rounds of shrinking partition count with an exchange between them."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = keys.mapInPandas(_local(dims), keys.schema)
     while n > 1:
         n = max(1, n // _FAN_IN)
-        out = out.coalesce(n).mapInPandas(_local(dims), keys.schema)
+        out = out.repartition(n).mapInPandas(_local(dims), keys.schema)
     return out
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera import operators as ops
-from tessera.functions import call, from_julian_day, julian_day, lenient_date, round_up_cents
+from tessera.functions import call, from_julian_day, julian_day, lenient_date, one_char, round_up_cents
 from tessera.plans.builder import Plan
-from tessera.sources import Catalog, sorted_tuple_runs, text_rows
+from tessera.sources import SCHEMAS, Catalog, register_columnfile, scratch_folder, sorted_tuple_runs, text_rows, write_columns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,9 +94,9 @@ def topk(c: Catalog) -> DataFrame:
     return Plan.scan(c, "lineitem").top_k(["l_quantity", "l_extendedprice", "l_orderkey"], 10).df
 
 
-@query("select o_orderkey, o_totalprice, o_custkey from orders order by o_orderkey, o_totalprice, o_custkey limit 1000")
+@query("select o_orderkey, o_totalprice, o_custkey from orders order by o_orderkey, o_totalprice, o_custkey limit 100000")
 def topk_largek(c: Catalog) -> DataFrame:
-    return Plan.scan(c, "orders").top_k(["o_orderkey", "o_totalprice", "o_custkey"], 1000).df
+    return Plan.scan(c, "orders").top_k(["o_orderkey", "o_totalprice", "o_custkey"], 100000).df
 
 
 def _lines_by_price_and_discount(c: Catalog) -> Plan:
@@ -187,19 +189,9 @@ def join_dimension(c: Catalog) -> DataFrame:
     return nations.join(Plan.scan(c, "supplier", "s_nationkey"), ["n_nationkey"], ["s_nationkey"]).group_by(["n_name"], ops.count("suppliers")).df
 
 
-@query("select o_orderkey, o_totalprice, o_custkey from orders order by o_orderkey, o_totalprice, o_custkey limit 100000")
-def topk_largek_full(c: Catalog) -> DataFrame:
-    return Plan.scan(c, "orders").top_k(["o_orderkey", "o_totalprice", "o_custkey"], 100000).df
-
-
 @query("select cast(sum(id) as bigint) as s from range(1, 1000000001) as t(id)")
-def range_sum_full(c: Catalog) -> DataFrame:
-    return ops.global_aggregate(c.spark.range(1, 1000000001), ops.sum_("id", "s"))
-
-
-@query("select cast(sum(id) as bigint) as s from range(1, 1000001) as t(id)")
 def range_sum(c: Catalog) -> DataFrame:
-    return ops.global_aggregate(c.spark.range(1, 1000001), ops.sum_("id", "s"))
+    return ops.global_aggregate(c.spark.range(1, 1000000001), ops.sum_("id", "s"))
 
 
 @query("select count(distinct o_custkey) as ndv from orders")
@@ -207,13 +199,26 @@ def distinct_groups(c: Catalog) -> DataFrame:
     return Plan.scan(c, "orders", "o_custkey").aggregate(ops.ndv_exact("o_custkey", "ndv")).df
 
 
-@query()
+@query("select true as close, count(distinct o_custkey) as ndv from orders")
 def distinct_groups_approx(c: Catalog) -> DataFrame:
-    return Plan.scan(c, "orders", "o_custkey").aggregate(ops.ndv("o_custkey", "ndv")).df
+    """Whether the estimate is within a tenth of the exact number, and that number."""
+    both = Plan.scan(c, "orders", "o_custkey").aggregate(ops.ndv("o_custkey", "guess"), ops.ndv_exact("o_custkey", "ndv")).df
+    return both.select((F.abs(F.col("guess") - F.col("ndv")) <= F.col("ndv") / 10).alias("close"), "ndv")
+
+
+@query("select true as close, count(distinct o_custkey) as ndv from orders")
+def distinct_groups_merged(c: Catalog) -> DataFrame:
+    """As above from one sketch for each order status, merged."""
+    orders = c.scan("orders", ["o_orderstatus", "o_custkey"])
+    sketches = ops.group_by(orders, ["o_orderstatus"], ops.ndv_sketch("o_custkey", "sketch"))
+    guess = ops.global_aggregate(sketches, ops.ndv_merged("sketch", "guess"))
+    exact = ops.global_aggregate(orders, ops.ndv_exact("o_custkey", "ndv"))
+    both = guess.withColumn("one", F.lit(1)).join(exact.withColumn("other", F.lit(1)), F.col("one") == F.col("other"))
+    return both.select((F.abs(F.col("guess") - F.col("ndv")) <= F.col("ndv") / 10).alias("close"), "ndv")
 
 
 @query("select l_quantity as c1, l_linenumber as c2, l_orderkey as c3 from lineitem order by 1, 2, 3")
-def merge_sorted_runs_full(c: Catalog) -> DataFrame:
+def merge_sorted_runs(c: Catalog) -> DataFrame:
     lines = c.scan("lineitem", ["l_quantity", "l_linenumber", "l_orderkey", "l_returnflag"])
     cols = [F.col("l_quantity").alias("c1"), F.col("l_linenumber").alias("c2"), F.col("l_orderkey").alias("c3")]
     flag = F.col("l_returnflag")
@@ -222,15 +227,6 @@ def merge_sorted_runs_full(c: Catalog) -> DataFrame:
     return ops.merge_runs(runs, ["c1", "c2", "c3"])
 
 
-@query("select l_quantity as c1, l_linenumber as c2, l_orderkey as c3 from lineitem where l_shipdate < date '1995-06-01' order by 1, 2, 3")
-def merge_sorted_runs(c: Catalog) -> DataFrame:
-    lines = c.scan("lineitem", ["l_quantity", "l_linenumber", "l_orderkey", "l_returnflag", "l_shipdate"])
-    lines = lines.filter(F.col("l_shipdate") < _day("1995-06-01"))
-    cols = [F.col("l_quantity").alias("c1"), F.col("l_linenumber").alias("c2"), F.col("l_orderkey").alias("c3")]
-    runs = [lines.filter(F.col("l_returnflag") == f).select(*cols) for f in ("A", "N", "R")]
-    return ops.merge_runs(runs, ["c1", "c2", "c3"])
-
-
 @query("select l_orderkey, l_linenumber, cast(case when q <> pq then 1000 - pq else 2000 - pn end as bigint) as ovc from (select l_orderkey, l_linenumber, cast(l_quantity as bigint) q, lag(cast(l_quantity as bigint)) over w pq, lag(l_linenumber) over w pn from lineitem window w as (partition by l_orderkey order by cast(l_quantity as bigint), l_linenumber)) t where pq is not null")
 def offset_value_codes(c: Catalog) -> DataFrame:
     lines = c.scan("lineitem", ["l_orderkey", "l_linenumber", "l_quantity"]).withColumn("q", F.col("l_quantity").cast("long"))
@@ -240,7 +236,7 @@ def offset_value_codes(c: Catalog) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", code.cast("long").alias("ovc"))
 
 
-@query()
+@query("select cast((((id * 48271 + 69663) % 2147483647) * 16807 % 2147483647) % 1000 as int) as c1, cast((((id * 48271 + 139284) % 2147483647) * 16807 % 2147483647) % 1000 as int) as c2, cast((((id * 48271 + 208905) % 2147483647) * 16807 % 2147483647) % 1000 as int) as c3, cast((((id * 48271 + 278526) % 2147483647) * 16807 % 2147483647) % 1000 as int) as c4, cast((((id * 48271 + 348147) % 2147483647) * 16807 % 2147483647) % 1000 as int) as c5 from range(16000) as t(id) order by 1, 2, 3, 4, 5")
 def generated_runs(c: Catalog) -> DataFrame:
     cols = [f"c{i}" for i in range(1, 6)]
     return ops.merge_runs(sorted_tuple_runs(c.spark, 16, 1000), cols).select(*cols)
@@ -284,7 +280,7 @@ def join_bushy(c: Catalog) -> DataFrame:
     return people.join(lines, ["c_custkey"], ["o_custkey"]).group_by(["r_name"], ops.sum_("l_quantity", "qty"), ops.count("lines")).df
 
 
-@query("select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem o where not exists (select 1 from lineitem i where i.l_quantity <= o.l_quantity and i.l_extendedprice >= o.l_extendedprice and (i.l_quantity < o.l_quantity or i.l_extendedprice > o.l_extendedprice))")
+@query("with best as (select l_quantity as q, max(l_extendedprice) as p from lineitem group by l_quantity), before as (select q, p, max(p) over (order by q rows between unbounded preceding and 1 preceding) as ahead from best) select l_orderkey, l_linenumber, l_quantity, l_extendedprice from lineitem join before on q = l_quantity and p = l_extendedprice where ahead is null or ahead < p")
 def pareto_min_max(c: Catalog) -> DataFrame:
     return Plan.scan(c, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").pareto(["l_quantity", "-l_extendedprice"]).df
 
@@ -295,7 +291,7 @@ def scalar_functions(c: Catalog) -> DataFrame:
     return c.scan("lineitem").select(
         "l_orderkey", "l_linenumber", round_up_cents(F.col("l_extendedprice")).alias("price"),
         call("minus", "l_linenumber", 1).alias("minus"), call("modulus", "l_orderkey", F.lit(7).cast("long")).alias("modulus"),
-        F.expr("l_orderkey div 7").alias("quotient"), call("negate", "l_linenumber").alias("negated"),
+        call("int_divides", "l_orderkey", F.lit(7).cast("long")).alias("quotient"), call("negate", "l_linenumber").alias("negated"),
         flag.alias("flag"), call("bit_and", "l_orderkey", F.lit(12).cast("long")).alias("bits"),
     )
 
@@ -310,9 +306,77 @@ def _scan(table: str, columns: list[str]) -> None:
     ORACLES[f"scan_{table}"] = f"select {', '.join(cols.values())} from {table}"
 
 
-for _t, _c in {
-    "region": ["r_regionkey", "r_name"], "part": ["p_partkey", "p_brand", "p_size", "p_retailprice"],
-    "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey"],
-    "orders": ["o_orderkey", "o_orderdate"], "lineitem": ["l_orderkey", "l_linenumber", "l_shipdate"],
-}.items():
-    _scan(_t, _c)
+for _t, _schema in SCHEMAS.items():
+    _scan(_t, _schema.names)
+
+
+@query("select l_orderkey, l_linenumber, l_quantity * l_extendedprice as product, l_extendedprice / l_quantity as quotient, l_orderkey // 3 as whole, l_linenumber = 2 as same, l_linenumber <> 2 as other, l_linenumber <= 2 as most, (l_linenumber = 2 or l_quantity < 10) as either_one, l_orderkey | 12 as bits_or, xor(l_orderkey, 12) as bits_xor from lineitem")
+def registry_functions(c: Catalog) -> DataFrame:
+    long = lambda n: F.lit(n).cast("long")
+    return c.scan("lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]).select(
+        "l_orderkey", "l_linenumber", call("multiplies", "l_quantity", "l_extendedprice").alias("product"), call("divides", "l_extendedprice", "l_quantity").alias("quotient"),
+        call("int_divides", "l_orderkey", long(3)).alias("whole"), call("equal_to", "l_linenumber", 2).alias("same"), call("not_equal_to", "l_linenumber", 2).alias("other"),
+        call("less_equal", "l_linenumber", 2).alias("most"), call("logical_or", call("equal_to", "l_linenumber", 2), call("less", "l_quantity", 10.0)).alias("either_one"),
+        call("bit_or", "l_orderkey", long(12)).alias("bits_or"), call("bit_xor", "l_orderkey", long(12)).alias("bits_xor"),
+    )
+
+
+@query("select l_returnflag as flag, l_linestatus as status, count(*) as cnt from lineitem where length(l_returnflag) = 1 group by all")
+def char_groups(c: Catalog) -> DataFrame:
+    """Columns of one character, read by the checking parser."""
+    lines = c.scan("lineitem", ["l_returnflag", "l_linestatus"]).select(one_char(F.col("l_returnflag")).alias("flag"), one_char(F.col("l_linestatus")).alias("status"))
+    return ops.group_by(lines, ["flag", "status"], ops.count("cnt"))
+
+
+@query("select l_returnflag, l_linenumber, count(*) as cnt from lineitem group by all")
+def hash_groups(c: Catalog) -> DataFrame:
+    """Groups of equal word and tuple hashes are the groups of equal tuples."""
+    lines = c.scan("lineitem", ["l_returnflag", "l_linenumber"]).withColumns({"one": call("hash", "l_linenumber"), "both": call("hash", "l_returnflag", "l_linenumber")})
+    per = lines.groupBy("one", "both").agg(F.min("l_returnflag").alias("l_returnflag"), F.max("l_linenumber").alias("l_linenumber"), ops.count("cnt"))
+    return per.drop("one", "both")
+
+
+@F.pandas_udf(T.LongType())
+def _line_tag(order: pd.Series, line: pd.Series) -> pd.Series:
+    return order * 10 + line
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) as paid, l_orderkey * 10 + l_linenumber as tag from lineitem")
+def user_functions(c: Catalog) -> DataFrame:
+    """A function given as an expression, and one in Python over Arrow batches."""
+    return c.scan("lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"]).select(
+        "l_orderkey", "l_linenumber", call(lambda price, off: price * (1 - off), "l_extendedprice", "l_discount").alias("paid"), call(_line_tag, "l_orderkey", "l_linenumber").alias("tag"),
+    )
+
+
+@query("select o_orderkey, o_totalprice, l_linenumber from orders join lineitem on o_orderkey = l_orderkey and o_orderkey = l_suppkey")
+def join_repeated_key(c: Catalog) -> DataFrame:
+    orders = Plan.scan(c, "orders", "o_orderkey", "o_totalprice")
+    lines = Plan.scan(c, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber")
+    return orders.join(lines, ["o_orderkey", "o_orderkey"], ["l_orderkey", "l_suppkey"]).select("o_orderkey", "o_totalprice", "l_linenumber").df
+
+
+@query("select l_quantity, l_extendedprice, l_orderkey from lineitem order by l_quantity, l_extendedprice, l_orderkey limit 10 offset (select count(*) - 2000 from lineitem)")
+def sort_deep_page(c: Catalog) -> DataFrame:
+    """A page near the end of the table."""
+    keys = ["l_quantity", "l_extendedprice", "l_orderkey"]
+    lines = c.scan("lineitem", keys)
+    return ops.deep_page(lines, keys, lines.count() - 2000, 10, heap_rows=1000)
+
+
+def _column_files(table: str) -> None:
+    """Writes a table as column files and reads it back."""
+
+    def fn(c: Catalog) -> DataFrame:
+        path = scratch_folder(c.spark, table)
+        rows = c.dates(table)
+        write_columns(rows, path)
+        register_columnfile(c.spark)
+        return c.spark.read.format("columnfile").schema(rows.schema).load(path)
+
+    QUERIES[f"columnfile_{table}"] = lambda spark, sf_dir: fn(Catalog(spark, sf_dir))
+    ORACLES[f"columnfile_{table}"] = ORACLES[f"scan_{table}"]
+
+
+for _t in ("nation", "orders", "part"):
+    _column_files(_t)
