@@ -16,7 +16,9 @@ parameters.
 
 Text: references decoded, white space inside a block turned into one space,
 blocks trimmed, empty ones left out, the rest joined by newline in page order.
-A `br` is white space.
+A `br` is white space.  Inline elements such as `math`, `noscript` and `object`
+give their text; scripts, styles, form controls, frames, drawings and templates
+do not.
 
 Cases: null or empty html gives empty text; pages without markup give their
 text if the trees take its root for an article, else none; broken markup is
@@ -32,6 +34,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,9 @@ from tessera.llm.storage import small_batches
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript textarea title template iframe svg math select button object".split())
+RAW = frozenset("script style textarea title template iframe svg select button".split())
+# Of these only script, style, title and textarea hold no markup: without an end tag they end with the page.
+OPAQUE = frozenset("script style textarea title".split())
 BLOCKS = (
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form table thead tbody tfoot tr td th "
     "blockquote pre figure figcaption address fieldset details summary dialog center"
@@ -58,6 +63,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-z
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?]")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 MARK = "\x01"
 N_FEATURES = 18 + len(INSIDE_OF) + len(BLOCKS) + TOKENS
 
@@ -112,9 +118,13 @@ class Page:
                             break
                 continue
             self.inner[stack[-1][1]] += 1
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
+            if name in RAW and not (name not in OPAQUE and m.group(3).endswith("/")):
+                end = _END[name].search(source, at)
+                if end:
+                    at = end.end()
+                elif name in OPAQUE:
+                    at = n
+                # Any other that is never closed is left out as a tag alone.
                 continue
             if name == "head":
                 in_head = True
@@ -178,6 +188,12 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
         tags[p] += tags[i]
         paragraphs[p] += paragraphs[i]
         blocks[p] += blocks[i]
+    place_of, largest = [0] * n, [0] * n
+    for own_kids in kids:
+        for at, k in enumerate(own_kids):
+            place_of[k] = at
+    for p, own_kids in enumerate(kids):
+        largest[p] = max((text[k] for k in own_kids), default=0)
     x = np.zeros((n, N_FEATURES), dtype=np.float32)
     whole = max(1, text[0])
     under = [0] * n
@@ -185,14 +201,14 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
         p = page.parent[i]
         if p >= 0:
             sib = kids[p]
-            at = sib.index(i) if len(sib) < 64 else 0
+            at = place_of[i]
             before = text[sib[at - 1]] if at else 0
             after = text[sib[at + 1]] if at + 1 < len(sib) else 0
             under[i] = under[p] | (1 << INSIDE_OF.index(page.tag[p]) if page.tag[p] in INSIDE_OF else 0)
             share = text[i] / max(1, text[p])
             place, many = (at + 1) / len(sib), len(sib)
             up = link[p] / max(1, text[p])
-            biggest = max(text[k] for k in sib) == text[i] if len(sib) < 64 else False
+            biggest = largest[p] == text[i]
         else:
             before = after = 0
             share, place, many, up, biggest = 1.0, 1.0, 1, 0.0, True
@@ -389,7 +405,9 @@ def generated_page(rng: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(2, 9)}</title></head><body>{page}" + rng.choice(["</body></html>", ""])
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = 1000, seed: int = 29) -> Trees:
+    """The trees, a fixed function of the two numbers; trained once in a process."""
     rng = random.Random(seed)
     xs, ys, ws = [], [], []
     for _ in range(pages):

@@ -11,17 +11,19 @@ the source's size takes the words before the target, one between one and two
 sizes takes every document once and the words before the rest again.  At most
 one document of a source is cut.
 
-Tree.  The taken blocks of all sources are dealt to 2^depth output shards: at
-each node the blocks are ranked by a hash of (node, block) and the first half
-goes left, so that the numbers of blocks by source that go left are one
-multivariate hypergeometric draw, and the shards' quotas add up exactly.  A
-block of source s at a shard is a draw without replacement, so shards are
-disjoint.  Rows of a shard are ordered by hash.  Column functions only; hashes
-are seeded, so reruns agree.
+Tree.  The numbers of taken blocks by source are split among 2^depth output
+shards: at each node the left half's quotas by source are one multivariate
+hypergeometric draw, made by ranking hashes of the node's (source, number)
+pairs, so quotas add up exactly.  The ranks come from a histogram of hashes and
+one rank inside its bucket at the cut, so no task holds a level.  Then each
+source's blocks, in an order by hash, are handed out by the shards' quotas, so
+shards are disjoint.  Rows of a shard are ordered by hash.  Column functions
+only; hashes are seeded, so reruns agree.
 
 Cases: null text has size 0 and takes 0; sources without words have target 0;
-repeated rows are one document's copies, ordered by place; an empty table gives
-no rows; other columns are ignored.
+repeated rows are one document's copies, each taken for itself; null doc_ids are
+told apart by their texts; an empty table gives no rows; other columns, whatever
+their names, are ignored by mix_plan and carried by mix.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.prefix import bucket_count, running_total
-from tessera.llm.storage import staged
+from tessera.llm.storage import drop_staged, quoted, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -66,42 +68,66 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 def mix_plan(docs: DataFrame, depth: int | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 23) -> DataFrame:
     """One row per document row: row_id, doc_id, source, size, source_size, target, taken, block, shard, place.
 
-    docs: doc_id, source and text, or doc_id, source and size (long), with or
-    without row_id.  depth: of the tree; by default such that a shard has about
-    ROWS_PER_SHARD rows, and 4 at least.
+    docs: doc_id, source, text.  depth: of the tree; by default such that a
+    shard has about ROWS_PER_SHARD rows, and 4 at least.
     """
-    size = F.col("size").cast("long") if "size" in docs.columns else word_count(F.col("text"))
-    row = F.col("row_id") if "row_id" in docs.columns else F.monotonically_increasing_id()
+    return _plan(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "text"), depth, weights, share, cap, seed)
+
+
+def _plan(docs: DataFrame, depth: int | None, weights, share: float, cap: float, seed: int) -> DataFrame:
+    """mix_plan of (row_id, doc_id, source, text)."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    rows = staged(docs.select(row.alias("row_id"), "doc_id", "source", key.alias("source_key"), size.alias("size")), "sizes")
+    mixed = F.xxhash64("doc_id", "text", F.lit(seed))
+    rows = staged(docs.select("row_id", "doc_id", "source", key.alias("source_key"), word_count(F.col("text")).alias("size"), mixed.alias("mixed")), "sizes")
     sizes = rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap).drop("source")
-    mixed = F.xxhash64("doc_id", F.lit(seed))
     n = rows.count()
     blocks = bucket_count(n)
     depth = depth if depth is not None else max(4, (n // ROWS_PER_SHARD).bit_length())
-    rows = rows.withColumns({"mixed": mixed, "block": F.pmod(mixed, F.lit(blocks))})
+    rows = rows.withColumn("block", F.pmod("mixed", F.lit(blocks)))
     placed = running_total(rows, ["source_key"], "block", [F.col("mixed"), F.col("doc_id"), F.col("size"), F.col("row_id")], "size", "stop")
     placed = placed.join(targets, "source_key")
     passes = F.when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
     rest = F.round(F.col("target") - passes * F.col("source_size")).cast("long")
     again = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("stop") - F.col("size"))))
-    placed = placed.withColumn("taken", (passes * F.col("size") + again).cast("long"))
+    placed = staged(placed.withColumn("taken", (passes * F.col("size") + again).cast("long")).drop("stop", "mixed"), "placed")
     shards = _deal(placed.filter("taken > 0").select("source_key", "block").distinct(), depth, seed)
     placed = placed.join(shards, ["source_key", "block"], "left")
     return placed.select("row_id", "doc_id", "source", "size", "source_size", "target", "taken", "block", "shard",
                          F.xxhash64("row_id", "doc_id", F.lit(seed + 1)).alias("place"))
 
 
-def _deal(blocks: DataFrame, depth: int, seed: int) -> DataFrame:
-    """(source_key, block, shard): blocks dealt down a binary tree, one hypergeometric draw a node."""
-    tree = blocks.withColumn("shard", F.lit(0).cast("long"))
+def quotas(counts: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(node, source_key, n): blocks of each source at each leaf of the tree, from (source_key, n)."""
+    now = staged(counts.select(F.lit(0).cast("long").alias("node"), "source_key", F.col("n").cast("long").alias("n")), "quotas")
     for level in range(depth):
-        node = Window.partitionBy("shard")
-        rank = F.row_number().over(node.orderBy(F.xxhash64("shard", "source_key", "block", F.lit(seed + level)), "source_key", "block"))
-        right = (rank > F.ceil(F.count(F.lit(1)).over(node) / 2)).cast("long")
-        tree = tree.withColumn("shard", F.col("shard") * 2 + right)
-    return tree
+        each = now.select("node", "source_key", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("j"))
+        each = each.withColumn("h", F.xxhash64("node", "source_key", "j", F.lit(seed + level))).withColumn("b", F.shiftrightunsigned("h", 52))
+        node = Window.partitionBy("node")
+        # At most 4096 buckets a node.
+        held = each.groupBy("node", "b").agg(F.count(F.lit(1)).alias("held"))
+        held = held.withColumns({"upto": F.sum("held").over(node.orderBy("b")), "half": F.ceil(F.sum("held").over(node) / 2)})
+        cut = held.select("node", "b", (F.col("half") - (F.col("upto") - F.col("held"))).alias("spare"), "held").filter("spare > 0")
+        first = each.join(cut, ["node", "b"])
+        rank = F.row_number().over(Window.partitionBy("node", "b").orderBy("h", "source_key", "j"))
+        left = first.filter("spare >= held").select("node", "source_key").unionByName(first.filter("spare < held").withColumn("rank", rank).filter("rank <= spare").select("node", "source_key"))
+        left = left.groupBy("node", "source_key").agg(F.count(F.lit(1)).alias("x"))
+        halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.coalesce("x", F.lit(0)).alias("n")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("n") - F.coalesce("x", F.lit(0))).alias("n")))
+        split = now.join(left, ["node", "source_key"], "left").select("source_key", F.explode(halves).alias("half"))
+        before, now = now, staged(split.select("half.node", "source_key", "half.n").filter("n > 0"), "quotas")
+        drop_staged(before)
+    return now
+
+
+def _deal(blocks: DataFrame, depth: int, seed: int) -> DataFrame:
+    """(source_key, block, shard): each source's blocks in an order by hash, handed out by the leaves' quotas."""
+    mixed = F.xxhash64("source_key", "block", F.lit(seed))
+    ranked = blocks.withColumns({"h": mixed, "b": F.shiftrightunsigned(mixed, 52), "one": F.lit(1).cast("long")})
+    ranked = running_total(ranked, ["source_key"], "b", [F.col("h"), F.col("block")], "one", "rank").select("source_key", "block", "rank")
+    leaves = quotas(blocks.groupBy("source_key").agg(F.count(F.lit(1)).alias("n")), depth, seed)
+    upto = F.sum("n").over(Window.partitionBy("source_key").orderBy("node"))
+    leaves = leaves.withColumn("upto", upto).select("source_key", F.col("node").alias("shard"), F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("rank"))
+    return ranked.join(leaves, ["source_key", "rank"]).select("source_key", "block", "shard")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -117,10 +143,10 @@ def mix(docs: DataFrame, depth: int | None = None, weights=WEIGHTS, share: float
     words.  Where docs has n_chars, it is the length of the new text.
     """
     names = docs.columns
-    table = staged(docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)]), "mix")
+    table = staged(docs.select(F.monotonically_increasing_id().alias("_row"), *[quoted(c).alias(f"_c{i}") for i, c in enumerate(names)]), "mix")
     at = {c: f"_c{i}" for i, c in enumerate(names)}
     slim = table.select(F.col("_row").alias("row_id"), F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"))
-    plan = mix_plan(slim, depth, weights, share, cap, seed).filter("taken > 0").select(F.col("row_id").alias("_row"), "size", "taken", "shard", "place")
+    plan = _plan(slim, depth, weights, share, cap, seed).filter("taken > 0").select(F.col("row_id").alias("_row"), "size", "taken", "shard", "place")
     rows = plan.join(table, "_row")
     copies = F.filter(F.array(F.least("taken", "size"), F.greatest(F.lit(0).cast("long"), F.col("taken") - F.col("size"))), lambda n: n > 0)
     rows = rows.withColumn("_n", F.explode(copies))

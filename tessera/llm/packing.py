@@ -61,6 +61,14 @@ def encoder(path: str):
     return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=8)
+def id_kind(path: str) -> str:
+    """The narrowest unsigned type that holds every id of a tokenizer file."""
+    file = json.load(open(path, encoding="utf-8"))
+    top = max([*file["model"]["vocab"].values(), *(t["id"] for t in file["added_tokens"])])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -79,17 +87,19 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(row_id, doc_id, source, n_tokens, crc, ids): ids as little-endian uint16, the separator last."""
+    """(row_id, doc_id, source, n_tokens, crc, ids): ids as little-endian numbers of id_kind, the separator last."""
+    kind = id_kind(tokenizer)
+    width = int(kind[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
-                ids = [np.append(enc.encode_to_numpy(t, allowed_special="all"), SEPARATOR).astype("<u2").tobytes() for t in texts[a:b]]
+                ids = [np.append(enc.encode_to_numpy(t, allowed_special="all"), SEPARATOR).astype(kind).tobytes() for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(a, b - a) for c in ("row_id", "doc_id", "source")],
-                     pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                     pa.array([len(x) // width for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["row_id", "doc_id", "source", "n_tokens", "crc", "ids"],
                 )
 
@@ -108,7 +118,7 @@ def schedule(rows: DataFrame, window: int = WINDOW, weights: dict[str | None, fl
         return rows.select("row_id", F.col("n_tokens").alias("begin"))
     buckets = bucket_count(total.n)
     queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    mixed = F.xxhash64("doc_id", F.lit(seed))
+    mixed = F.xxhash64("doc_id", "crc", F.lit(seed))
     rows = rows.select("row_id", "doc_id", "n_tokens", "crc", queue.alias("queue"), mixed.alias("mixed"), F.pmod(mixed, F.lit(buckets)).alias("bucket"))
     ended = running_total(rows, ["queue"], "bucket", [F.col(c) for c in ("mixed", "doc_id", "crc", "row_id")], "n_tokens", "end")
     share = rows.groupBy("queue").agg(F.sum("n_tokens").alias("held"))
@@ -127,14 +137,14 @@ def schedule(rows: DataFrame, window: int = WINDOW, weights: dict[str | None, fl
     return placed.select("row_id", (F.col("stop") - F.col("n_tokens")).alias("begin"))
 
 
-def _cut(window: int, with_ids: bool):
+def _cut(window: int, with_ids: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begins, sizes, data = batch.column("begin").to_numpy(), batch.column("n_tokens").to_numpy(), batch.column("ids")
             which, start, length, crc, ids = [], [], [], [], []
             for i, (g, n) in enumerate(zip(begins.tolist(), sizes.tolist())):
                 edges = [0, *range(window - g % window, n, window), n]
-                raw = np.frombuffer(data[i].as_buffer(), "<u2").astype("<u4").tobytes()
+                raw = np.frombuffer(data[i].as_buffer(), kind).astype("<u4").tobytes()
                 for a, b in zip(edges, edges[1:]):
                     part = raw[4 * a : 4 * b]
                     which.append(i), start.append(a), length.append(b - a), crc.append(zlib.crc32(part))
@@ -158,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, we
     with_ids).
     """
     small_batches(docs.sparkSession)
-    table = staged(tokens(docs, tokenizer or default_tokenizer()), "tokens", "zstd")
+    tokenizer = tokenizer or default_tokenizer()
+    table = staged(tokens(docs, tokenizer), "tokens", "zstd")
     begin = schedule(table.drop("ids"), window, weights, seed)
     placed = table.select("row_id", "doc_id", "source", "n_tokens", "ids").join(begin, "row_id")
-    return placed.mapInArrow(_cut(window, with_ids), _PIECES_SCHEMA)
+    return placed.mapInArrow(_cut(window, with_ids, id_kind(tokenizer)), _PIECES_SCHEMA)

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.storage import small_batches
+from tessera.llm.storage import quoted, small_batches
 from tessera.llm.textops import chunks, encoded, mix, word_table
 
 BUCKETS = 1 << 18
@@ -172,11 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of docs with quality_score and quality_predicted added."""
+    """The columns of docs with quality_score and quality_predicted added, or replaced where docs has them."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index("text")
+    new = {"quality_score": T.DoubleType(), "quality_predicted": T.IntegerType()}
+    kept = [f for f in docs.schema if f.name.lower() not in new]
+    # Own names inside, so that no column of docs can clash.
+    inner = docs.select(*[quoted(f.name).alias(f"_c{i}") for i, f in enumerate(kept)])
+    at = [f.name for f in kept].index("text")
+    names = [*inner.columns, *new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +189,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for a, b in chunks(data):
                 s = held.value.score(data[a:b])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "quality_score", "quality_predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, quality_score double, quality_predicted int")
+    schema = T.StructType([*inner.schema.fields, *[T.StructField(n, t) for n, t in new.items()]])
+    out = inner.mapInArrow(run, schema)
+    return out.select(*[F.col(f"_c{i}").alias(f.name) for i, f in enumerate(kept)], *new)

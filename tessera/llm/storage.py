@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,6 +58,11 @@ def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch can hold and has Python workers give memory back, for the whole session."""
     for name, value in _WORKER.items():

@@ -16,9 +16,7 @@ from tests.llm.test_text_joins import brute_components, brute_dedup
 def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.default_tokenizer())
 
 
 def test_ids_equal_the_tokenizer_library(reference_tokenizer):
@@ -27,7 +25,7 @@ def test_ids_equal_the_tokenizer_library(reference_tokenizer):
     texts += ["".join(chr(c) for c in rng.integers(1, 0x3000, 200)) for _ in range(40)]
     enc = P.encoder(P.default_tokenizer())
     for t in texts:
-        assert enc.encode_to_numpy(t or "", disallowed_special=()).tolist() == reference_tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert enc.encode_to_numpy(t or "", allowed_special="all").tolist() == reference_tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def check(rows, docs, tokenizer, window):
@@ -96,7 +94,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
 
     texts = corpus(8, 120)
-    df = documents(spark, texts).drop("size", "ids")
+    df = documents(spark, texts)
     kept = C.drop_near_copies(spark, df, "")
     assert kept.columns == df.columns
     want = {i for i, _, c in brute_components(list(enumerate(texts))) if i == c}
