@@ -13,14 +13,13 @@ a set's e non-empty segments are equal in its partner.
   shares fewer than e - k signatures with any other set has no partner and
   leaves.  Any other set probes only its k + 1 rarest signatures, which is
   still complete, and costs least; unshared signatures need no probe at all.
-- Verification, on words and not on hashes.  Each set is compared with the
-  leading set of its signature groups, at first with the one it meets in most of
-  them, then with the others whose component is not its own; what is left in
-  groups that hold several components is compared with a few pivots of each.
-  Then, in groups that still hold several components, pairs across components
-  are compared unless the counts of their shingles by bucket already differ by
-  more than k.  So every link that could join two components is verified
-  exactly, and no group is expanded into all its pairs.
+- Verification, on words and not on hashes, of pairs whose sizes and counts of
+  shingles by bucket differ by no more than k.  Each set is compared with the
+  leading set of its signature groups; what is left in groups that hold several
+  components is compared with a few pivots of each; then, in groups that still
+  hold several, pairs across components are compared.  So every link that could
+  join two components is verified exactly, and no group is expanded into all
+  its pairs.
 
 Equal sets are one class from the start.  A signature is sent as 5 bytes and the
 group they lie in; a false match only costs a comparison.  Signatures of very
@@ -448,13 +447,10 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     leads = entries.select("slice", "heads").mapInArrow(_head_rows, "head long, place int, a long")
     if len(heavy):
         leads = leads.unionByName(docs.sparkSession.createDataFrame(pa.table({"head": np.full(len(heavy), -1), "place": np.arange(len(heavy), dtype=np.int32), "a": most.column("a")})))
-    meets = probes.select("cls", F.explode(F.arrays_zip("head", "place")).alias("at")).groupBy("cls", "at").agg(F.count(F.lit(1)).alias("often"))
-    meets = meets.select("cls", "often", "at.head", "at.place").join(leads, ["head", "place"]).filter("a <> cls")
-    meets = staged(meets.groupBy("a", F.col("cls").alias("b")).agg(F.sum("often").alias("often")), "meets")
+    meets = probes.select("cls", F.explode(F.array_distinct(F.arrays_zip("head", "place"))).alias("at")).select("cls", "at.head", "at.place")
+    meets = staged(meets.join(leads, ["head", "place"]).filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "meets")
     drop_staged(profile)
-    best = meets.groupBy("b").agg(F.max_by("a", F.struct("often", "a")).alias("a")).select("a", "b")
-    labels.take(verified(best, chosen))
-    labels.take(verified(apart(meets), chosen))
+    labels.take(verified(meets, chosen))
 
     # Signatures of several components, and all their sets.
     members = probes.select("cls", "band", F.explode("sigs").alias("sig"))

@@ -74,12 +74,12 @@ class Words:
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(kept)])
         return found.dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes: 8 bytes a step, each step mixed; of long words a cryptographic one."""
         size = self.end - self.start
         room = np.concatenate([self.buf, np.zeros(8, dtype=np.uint8)])
         eight = np.ndarray(len(self.buf), dtype="<u8", buffer=room, strides=(1,))
-        out = mix(size.astype(np.uint64) * _GOLDEN)
+        out = mix((size + (seed << 40)).astype(np.uint64) * _GOLDEN)
         at = np.arange(len(size))
         for done in range(0, _LONG_WORD, 8):
             if done:
@@ -89,7 +89,7 @@ class Words:
             step = eight[self.start[at] + done] & _MASKS[np.minimum(size[at] - done, 8)]
             out[at] = mix(out[at] ^ step)
         for w in np.flatnonzero(size > _LONG_WORD).tolist():
-            out[w] = int.from_bytes(blake2b(self.buf[self.start[w] : self.end[w]].tobytes(), digest_size=8).digest(), "little")
+            out[w] = int.from_bytes(blake2b(self.buf[self.start[w] : self.end[w]].tobytes(), digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little")
         return out
 
 
@@ -137,7 +137,7 @@ def encoded(column) -> list[bytes]:
 
 def planes(x: np.ndarray, width: int) -> bytes:
     """The low `width` bytes of each number, all first bytes first, so that equal bytes lie together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width].T).tobytes()
 
 
 def from_planes(data: bytes, width: int, kind) -> np.ndarray:
