@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, mixing, packing, quality_classifier, substring_dedup
-from tessera.llm.storage import drop_staged, recorded, staged
+from tessera.llm.storage import drop_staged, quoted, recorded, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: dict[int, list[DataFrame]] = {}
@@ -44,7 +44,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier accepts."""
     names = docs.columns
     # Own names are put aside, so that no column of docs can clash with a new one.
-    slim = docs.select(*[F.col(c).alias(c if c in ("doc_id", "text") else f"_c{i}") for i, c in enumerate(names)])
+    slim = docs.select(*[quoted(c).alias(c if c in ("doc_id", "text") else f"_c{i}") for i, c in enumerate(names)])
     model = quality_classifier.fit(slim.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     good = quality_classifier.score(slim, model).filter("quality_predicted = 1")
     return good.select(*[F.col(c if c in ("doc_id", "text") else f"_c{i}").alias(c) for i, c in enumerate(names)])
@@ -55,8 +55,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, the one with the smallest doc_id, of each group of near copies; documents that repeat a doc_id stay once."""
     groups = staged(jaccard_join.link_components(docs.select("doc_id", "text")), "groups")
     extra = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id") == F.col("c.doc_id"), "left_anti")
     if extra:
         null = F.col("doc_id").isNull()
         kept = kept.filter(~null).dropDuplicates(["doc_id"]).unionByName(kept.filter(null))
@@ -68,7 +68,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Texts without the words of windows that also start earlier; documents that lose all their words go."""
     names = docs.columns
     carried = {c: f"_c{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
-    slim = docs.select("doc_id", "text", *[F.col(c).alias(a) for c, a in carried.items()])
+    slim = docs.select("doc_id", "text", *[quoted(c).alias(a) for c, a in carried.items()])
     out = substring_dedup.dedup(slim, list(carried.values())).filter("n_words = 0 or n_removed < n_words")
     columns = {"text": F.col("kept"), "doc_id": F.col("doc_id"), **{c: F.col(a) for c, a in carried.items()}}
     if "n_chars" in names:
