@@ -18,18 +18,24 @@
    beam until both recalls are high enough; where the widest beam does not reach
    that, or the graph falls into very many parts, the shard is scanned in full.
 5. The links found for that sample are compared with its true ones over all
-   clusters.  Below the recall bound, or where a vector would be sent to more
-   shards than there are clusters or blocks, all classes are compared block by
-   block, which is exact.
+   clusters.  Below the recall bound clusters overlap more and are searched
+   again; if that does not help, or where a vector would be sent to more shards
+   than there are clusters or blocks, all classes are compared block by block,
+   which is exact.
 6. What is found is verified in double precision.  A pair that meets in several
    clusters counts in the first they share.  Only counts and the edges of local
    spanning trees leave a task, so a dense group sends no pairs.
 
 Cases: vectors that are null, zero, or hold null or non-finite components have
 no links and are their own component; vectors of other dimension than the first
-by vec_id's hash order link with nothing either; rows that share a vec_id and
-a vector are one node each counted; a null vec_id is ignored; an empty table
-gives no rows; other columns are ignored.
+by vec_id's hash order link with nothing either; rows that share a vec_id
+are each a node of its own vector, and those with equal vectors one another's
+copies; a row without vec_id comes back alone (no
+links, null component, kept) and counts for no other; an empty table gives no
+rows; other columns are ignored.
+
+Bounds: 1,024 clusters at most, so beyond some 1.2 million classes clusters grow
+with the table and are cut into more shards.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import staged
+from tessera.llm.storage import drop_staged, small_batches, staged
 
 THRESHOLD = 0.95
 SAMPLE = 8192
@@ -52,7 +58,11 @@ SHARD = 4000
 MARGIN = 0.08
 DEGREE, CANDIDATES, RANDOM = 16, 48, 8
 ALPHA = 1.2
-BEAM, MAX_BEAM = 32, 256
+BEAM, MAX_BEAM = 16, 256
+# Vectors that a search opens at once.
+OPEN = 4
+# How often clusters may overlap more before all classes are compared.
+WIDER = 2
 RECALL = 0.995
 AUDIT = 64
 # Vectors compared with all others, and vectors in a block of a full scan.
@@ -277,14 +287,15 @@ def search(queries: np.ndarray, own: np.ndarray, v: np.ndarray, graph: np.ndarra
 
     has = np.flatnonzero(own >= 0)
     push(*visit(np.concatenate([np.repeat(rows, len(entries)), has]), np.concatenate([np.tile(entries, q), own[has]])))
+    many = min(OPEN, beam)
     while True:
         closed = (beam_ids < 0) | opened[rows[:, None], np.maximum(beam_ids, 0)]
         s = np.where(closed, -np.inf, beam_sim)
-        pick = s.argmax(axis=1)
-        act = np.flatnonzero(np.isfinite(s[rows, pick]))
+        pick = np.argpartition(-s, many - 1, axis=1)[:, :many]
+        act, slot = np.nonzero(np.isfinite(np.take_along_axis(s, pick, axis=1)))
         if not len(act):
             break
-        at = beam_ids[act, pick[act]]
+        at = beam_ids[act, pick[act, slot]]
         opened[act, at] = True
         near = graph[at]
         real = near >= 0
@@ -449,8 +460,7 @@ def _searched(placed: DataFrame, held: list, threshold: float) -> DataFrame:
     asked = asked.select("cluster", "shard", "cid", "copies", "unit", "homes", (F.col("shard") == F.col("own")).alias("stored"))
     graph = asked.filter("stored").groupBy("cluster", "shard").applyInArrow(_build_shard, "cid long, near array<long>")
     union = graph.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = asked.join(union, "cid", "left").groupBy("cluster", "shard").applyInArrow(_search_shard(threshold), _FOUND)
-    return staged(found, "found")
+    return asked.join(union, "cid", "left").groupBy("cluster", "shard").applyInArrow(_search_shard(threshold), _FOUND)
 
 
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 17) -> tuple[DataFrame, float]:
@@ -458,15 +468,25 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 17)
 
     vectors: vec_id, embedding (array of numbers).
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null")
+    small_batches(vectors.sparkSession)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = staged(rows.mapInArrow(_units, "vec_id long, unit binary"), "units")
+    rows = rows.withColumn("unit", F.when(F.col("vec_id").isNotNull(), F.col("unit")))
     valid = rows.filter("unit is not null")
     sample = valid.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(SAMPLE).select("unit").toArrow().column("unit").to_pylist()
     if not sample:
         alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
         return alone, 1.0
     width = len(sample[0])
-    classes = staged(valid.filter(F.length("unit") == width).groupBy("unit").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("copies")), "classes")
+    merged = valid.filter(F.length("unit") == width).groupBy("unit").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    turn = 0
+    while True:
+        # A class is named by a hash of its vector; should two share one, the next hash is taken.
+        classes = staged(merged.withColumn("cid", F.xxhash64("unit", F.lit(turn))), "classes")
+        if not classes.groupBy("cid").count().filter("count > 1").limit(1).count():
+            break
+        drop_staged(classes)
+        turn += 1
     n = classes.count()
     centre = _k_means(_matrix([s for s in sample if len(s) == width]), min(MAX_CLUSTERS, -(-n // CLUSTER)))
     probe = classes.orderBy(F.xxhash64("cid", F.lit(seed)), "cid").limit(TRUTH).select("cid", "unit").toArrow()
@@ -475,22 +495,32 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 17)
     # At most TRUTH rows.
     truth = truth.groupBy("cid").agg(F.sum("links").alias("links"), F.max("margin").alias("margin")).toPandas()
     margin = max([MARGIN, *(truth.margin + 1e-9)])
-    placed = staged(classes.mapInArrow(_homes(centre, margin), "unit binary, cid long, copies long, homes array<int>"), "homes")
-    # At most MAX_CLUSTERS rows.
-    sizes = placed.select(F.explode("homes").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("held")).collect()
     found, recall = None, 0.0
-    if sum(r.held * -(-r.held // SHARD) for r in sizes) <= n * max(len(centre), -(-n // SCAN)):
-        found = _searched(placed, sizes, threshold)
+    for _ in range(1 + WIDER):
+        placed = staged(classes.select("unit", "cid", "copies").mapInArrow(_homes(centre, margin), "unit binary, cid long, copies long, homes array<int>"), "homes")
+        # At most MAX_CLUSTERS rows.
+        sizes = placed.select(F.explode("homes").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("held")).collect()
+        if sum(r.held * -(-r.held // SHARD) for r in sizes) > n * max(len(centre), -(-n // SCAN)):
+            drop_staged(placed)
+            break
+        found = staged(_searched(placed, sizes, threshold), "found")
+        drop_staged(placed)
         got = found.filter(F.col("cid").isin(truth.cid.tolist())).agg(F.sum("links")).first()[0] or 0
         recall = got / truth.links.sum() if len(truth) else 1.0
+        if recall >= RECALL:
+            break
+        drop_staged(found)
+        margin *= 1.5
     if found is None or recall < RECALL:
         found, recall = staged(_scan(classes, n, threshold), "scanned"), 1.0
     edges = found.filter("root <> cid").select(F.col("cid").alias("a"), F.col("root").alias("b"))
     joined = components(edges)
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     per = classes.join(links, "cid", "left").join(joined, F.col("cid") == F.col("node"), "left")
-    per = per.select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    least = valid.join(per, "unit").select("vec_id", "n_links", "component_id")
+    per = per.select("unit", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("comp"))
+    lowest = per.groupBy("comp").agg(F.min("least").alias("component_id"))
+    per = per.join(lowest, "comp").select("unit", "n_links", "component_id")
+    linked = valid.join(per, "unit").select("vec_id", "n_links", "component_id")
     rest = rows.filter(F.col("unit").isNull() | (F.length("unit") != width)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = least.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     return out, recall

@@ -124,7 +124,8 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.near_dedup import near_links
 
-    return near_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))[0]
+    out, recall = near_links(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.withColumn("audit_passed", F.lit(recall >= 0.9))
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -173,5 +174,5 @@ with recursive v as (
 nodes as (select vec_id as id from embeddings),
 {_REACH},
 d as (select a, count(*) as n from links group by a)
-select id as vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, id = component_id as kept from least left join d on id = a
+select id as vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, id = component_id as kept, true as audit_passed from least left join d on id = a
 """
