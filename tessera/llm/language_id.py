@@ -54,8 +54,8 @@ def vectors(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.
     cp = np.where(letter, cp, np.uint32(_SPACE))
     text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(at))
     n = len(text)
-    # Place 0 is the space before the first text; each text ends with a space.
-    here, letter = cp[1 : n + 1], letter[1 : n + 1]
+    # Each text owns the space before it; no gram reaches past the space after it.
+    here, letter = cp[:n], letter[:n]
     out = np.zeros(len(texts) * buckets, dtype=np.float32)
     hashed = here * np.uint32(0x9E3779B1)
     use = letter
@@ -102,9 +102,10 @@ class Model:
         counts, letter = vectors(texts, len(self.idf))
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-        cosine = _scaled(counts, self.idf) @ self.centroids.T
-        best = cosine.argmax(axis=1)
-        top = np.clip(cosine[np.arange(len(texts)), best].astype(np.float64), 0, 1)
+        scaled = _scaled(counts, self.idf)
+        best = (scaled @ self.centroids.T).argmax(axis=1)
+        # Summed row by row, so that equal texts score alike in any batch.
+        top = np.clip((scaled * self.centroids[best]).sum(axis=1, dtype=np.float64), 0, 1)
         rejected = ~letter | (1 - top > self.radius[best])
         return [self.langs[i] if ok else "und" for i, ok in zip(best.tolist(), letter.tolist())], np.where(letter, top, 0.0), rejected
 
