@@ -13,8 +13,8 @@ a set's e non-empty segments are equal in its partner.
   shares fewer than e - k signatures with any other set has no partner and
   leaves.  Any other set probes only its k + 1 rarest signatures, which is
   still complete, and costs least; unshared signatures need no probe at all.
-- Verification, on words and not on hashes, of pairs whose sizes and counts of
-  shingles by bucket differ by no more than k.  Each set is compared with the
+- Verification, on words and not on hashes, of pairs that sizes
+  and parity bits of the shingles do not rule out.  Each set is compared with the
   leading set of its signature groups; what is left in groups that hold several
   components is compared with a few pivots of each; then, in groups that still
   hold several, pairs across components are compared.  So every link that could
@@ -65,7 +65,6 @@ HEAVY, HEAVY_SAMPLE, HEAVY_MOST = 100_000, 64, 100_000
 MAP_WORDS = 1 << 18
 BLOCK_BYTES = 8_000_000
 PIVOTS = 3
-FEW = 32
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 
 
@@ -310,21 +309,23 @@ def exact_sets(data: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
 
 
 def _vector(s: np.ndarray) -> np.ndarray:
-    """How many shingles of a set fall into each of some buckets; the more, the larger its band."""
-    size = min(512, max(64, (band_top(len(s)) + 1) // 4))
-    # Cut at 127, counts differ by no more than before.
-    return np.minimum(np.bincount((mix(s + _C2) % np.uint64(size)).astype(np.int64), minlength=size), 127).astype(np.int8)
+    """A set's shingles hashed to bits, each bit the parity of its number; more bits for a larger band."""
+    bits = 512
+    while bits < 4096 and bits < 2 * band_top(len(s)):
+        bits *= 2
+    odd = np.bincount((mix(s + _C2) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, size, bucket counts and text."""
+    """Class, size, parity bits and text."""
     for batch in batches:
         texts = batch.column("text")
         data = encoded(texts)
         for a in range(0, len(data), 512):
             sets = shingle_sets(data[a : a + 512])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vector(s) for s in sets], pa.list_(pa.int8())), texts.slice(a, 512)],
+                [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vector(s) for s in sets], pa.list_(pa.int64())), texts.slice(a, 512)],
                 ["cls", "n", "v", "text"],
             )
 
@@ -349,25 +350,26 @@ def _verify_block(table: pa.Table) -> pa.Table:
 
 
 def _near(x: str, y: str) -> Column:
-    """Whether two sets (structs of n and v) may link: by size, and by the counts of their shingles by bucket.
+    """Whether two sets (structs of n and v) may link: by size, and by their parity bits.
 
-    What the counts differ by is a lower bound of what the sets differ by,
-    which k bounds; only sets of one vector length can be told apart so.
+    Bits that differ are a lower bound of the shingles that only one set has,
+    of which sets that link have (n + m) / 9 at most; only vectors of one length
+    are compared.
     """
     n, m, v, w = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.v"), F.col(f"{y}.v")
-    differ = F.aggregate(F.zip_with(v, w, lambda p, q: F.abs(p - q)), F.lit(0), lambda p, q: p + q)
-    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & ((F.size(v) != F.size(w)) | (differ * 4 <= F.least(n, m)))
+    differ = F.aggregate(F.zip_with(v, w, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & ((F.size(v) != F.size(w)) | (differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that link.  pairs: distinct; texts: (cls, n, v, text, size), staged.
+def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that link.  pairs: distinct; texts: (cls, text), sets: (cls, n, v, size), staged.
 
     A pair belongs to a block of its a, or to a part of it where very much text
     is compared with a; so a b that has one a is sent once.
     """
-    known = lambda c: texts.select(F.col("cls").alias(c), F.struct("n", "v", "size").alias(f"{c}_"))
+    known = lambda c: sets.select(F.col("cls").alias(c), F.struct("n", "v", "size").alias(f"{c}_"))
     pairs = staged(pairs.join(known("a"), "a").join(known("b"), "b").filter(_near("a_", "b_")).select("a", "b", F.col("b_.size").alias("size")), "pairs")
-    blocks = max(1, int((texts.agg(F.sum("size")).first()[0] or 0) / BLOCK_BYTES) + 1)
+    blocks = max(1, int((sets.agg(F.sum("size")).first()[0] or 0) / BLOCK_BYTES) + 1)
     heavy = pairs.groupBy("a").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("parts")).filter("parts > 1")
     part = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
     placed = staged(pairs.join(heavy, "a", "left").select("a", "b", F.coalesce(part, F.pmod(F.xxhash64("a"), F.lit(blocks))).alias("block")), "placed")
@@ -437,9 +439,10 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
 
     heads = probes.select("cls").distinct()
     picked = named.join(heads, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = _mapped(texts, picked).select("text").mapInArrow(_classed, "cls long, n long, v array<tinyint>, text string").join(heads, "cls", "left_semi")
+    chosen = _mapped(texts, picked).select("text").mapInArrow(_classed, "cls long, n long, v array<long>, text string").join(heads, "cls", "left_semi")
     first = [F.first(c).alias(c) for c in ("n", "v", "text")]
-    chosen = staged(chosen.groupBy("cls").agg(*first).withColumn("size", F.octet_length("text").cast("long")), "texts", "zstd")
+    chosen = staged(chosen.groupBy("cls").agg(*first), "texts", "zstd")
+    sets = staged(chosen.select("cls", "n", "v", F.octet_length("text").cast("long").alias("size")), "sets")
     labels = _Labels(heads)
     apart = lambda rows: labels.of(labels.of(rows, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
 
@@ -450,10 +453,10 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     meets = probes.select("cls", F.explode(F.array_distinct(F.arrays_zip("head", "place"))).alias("at")).select("cls", "at.head", "at.place")
     meets = staged(meets.join(leads, ["head", "place"]).filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), "meets")
     drop_staged(profile)
-    labels.take(verified(meets, chosen))
+    labels.take(verified(meets, chosen, sets))
 
     # Signatures of several components, and all their sets.
-    members = probes.select("cls", "band", F.explode("sigs").alias("sig"))
+    members = probes.select("cls", F.explode("sigs").alias("sig"))
     reach = labels.of(members, "cls", "comp").groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = staged(reach.filter("low < high").select("sig"), "mixed")
     split = staged(members.join(mixed, "sig"), "split")
@@ -461,20 +464,16 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     pivots = split.groupBy("sig").agg(F.array_distinct(F.array(*turns)).alias("pivots")).select("sig", F.explode("pivots").alias("a"))
     led = split.select("sig", F.col("cls").alias("b")).join(pivots, "sig").filter("a <> b").select("a", "b").distinct()
     led = staged(_untested(apart(led), meets), "led")
-    labels.take(verified(led, chosen))
+    labels.take(verified(led, chosen, sets))
 
     left = labels.of(split, "cls", "comp")
     mixed = staged(left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sig"), "mixed")
-    left = staged(left.join(mixed, "sig").select("sig", "cls", "band", "comp"), "left")
-    own = left.groupBy("cls", "band").agg(F.collect_list("sig").alias("own"))
-    own = own.select("cls", "band", F.when(F.size("own") <= FEW, F.col("own")).alias("own"))
-    whole = left.join(chosen.select("cls", "n", "v"), "cls").join(own, ["cls", "band"])
-    # A pair is taken at its first common signature; where a set has very many it may come more than once.
-    here = F.coalesce(F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.sig"), F.lit(True))
-    across = whole.alias("x").join(whole.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & here & _near("x", "y"))
+    left = staged(left.join(mixed, "sig").select("sig", "cls", "comp"), "left")
+    whole = left.join(sets.select("cls", "n", "v"), "cls")
+    across = whole.alias("x").join(whole.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")) & _near("x", "y"))
     across = across.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    labels.take(verified(_untested(across, meets.select("a", "b").unionByName(led)), chosen))
-    drop_staged(probes, chosen, meets, mixed, split, led, left)
+    labels.take(verified(_untested(across, meets.select("a", "b").unionByName(led)), chosen, sets))
+    drop_staged(probes, chosen, sets, meets, mixed, split, led, left)
 
     rows = named.join(labels.table, "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

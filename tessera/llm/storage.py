@@ -22,6 +22,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _WORKER = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "4000000", "MALLOC_MMAP_THRESHOLD_": "1000000"}
 _recorders: list[list[DataFrame]] = []
 _marked: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,8 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set(_KEY, found)
+        found = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/tessera-{uuid.uuid4().hex}")
     return found.rstrip("/")
 
 
