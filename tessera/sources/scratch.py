@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -19,8 +20,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_KEY} must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set(_KEY, base)
+        base = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.gettempdir()}/tessera-{uuid.uuid4().hex}")
     folder = f"{base.rstrip('/')}/tessera-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -9,10 +9,8 @@ from tessera.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     s = local_session(8, "tests")
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoint')}")
     yield s
     s.stop()
