@@ -55,7 +55,7 @@ PERCENT = 80
 TINY, SMALL = 7, 63
 # Signatures packed together, or documents where they have few.
 SLICE_SIGNATURES, SLICE_DOCS = 1_000_000, 32_768
-SIGNATURES_PER_GROUP = 4_000_000
+SIGNATURES_PER_GROUP = 1_000_000
 # Bytes of a signature that are sent.
 SIGNATURE_BYTES = 5
 # Signatures that more sets than this seem to have, by a count over one class in HEAVY_SAMPLE, are known
@@ -317,22 +317,27 @@ def _vector(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+_CODEC = pa.Codec("zstd")
+
+
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Class, size, parity bits and text."""
+    """Class, number of shingles, parity bits, bytes and compressed text."""
     for batch in batches:
-        texts = batch.column("text")
-        data = encoded(texts)
+        data = encoded(batch.column("text"))
         for a in range(0, len(data), 512):
-            sets = shingle_sets(data[a : a + 512])
+            part = data[a : a + 512]
+            sets = shingle_sets(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vector(s) for s in sets], pa.list_(pa.int64())), texts.slice(a, 512)],
-                ["cls", "n", "v", "text"],
+                [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vector(s) for s in sets], pa.list_(pa.int64())),
+                 pa.array(list(map(len, part)), pa.int64()), pa.array([_CODEC.compress(t, asbytes=True) for t in part], pa.binary())],
+                ["cls", "n", "v", "size", "text"],
             )
 
 
 def _verify_block(table: pa.Table) -> pa.Table:
-    text = table.filter(table.column("text").is_valid())
-    sets = dict(zip(text.column("a").to_pylist(), exact_sets(encoded(text.column("text")))))
+    rows = table.filter(table.column("text").is_valid())
+    data = [_CODEC.decompress(t, n, asbytes=True) for t, n in zip(rows.column("text").to_pylist(), rows.column("b").to_pylist())]
+    sets = dict(zip(rows.column("a").to_pylist(), exact_sets(data)))
     pairs = table.filter(table.column("text").is_null())
     a, b = [], []
     for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
@@ -362,7 +367,7 @@ def _near(x: str, y: str) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that link.  pairs: distinct; texts: (cls, text), sets: (cls, n, v, size), staged.
+    """Pairs (a, b) of classes that link.  pairs: distinct; texts: (cls, size, text compressed), sets: (cls, n, v, size), staged.
 
     A pair belongs to a block of its a, or to a part of it where very much text
     is compared with a; so a b that has one a is sent once.
@@ -374,16 +379,17 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     part = F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts")))
     placed = staged(pairs.join(heavy, "a", "left").select("a", "b", F.coalesce(part, F.pmod(F.xxhash64("a"), F.lit(blocks))).alias("block")), "placed")
     needed = staged(placed.select(F.col("a").alias("cls"), "block").unionByName(placed.select(F.col("b").alias("cls"), "block")).distinct(), "needed")
-    sent = needed.join(texts.select("cls", "text"), "cls").select("block", F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = placed.select("block", "a", "b", F.lit(None).cast("string").alias("text")).unionByName(sent)
+    held = _mapped(texts.select("cls", "size", "text"), needed.select("cls"), "cls")
+    sent = needed.join(held, "cls").select("block", F.col("cls").alias("a"), F.col("size").alias("b"), "text")
+    rows = placed.select("block", "a", "b", F.lit(None).cast("binary").alias("text")).unionByName(sent)
     links = staged(rows.groupBy("block").applyInArrow(_verify_block, "a long, b long"), "links")
     drop_staged(pairs, placed, needed)
     return links
 
 
-def _mapped(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of texts whose doc_id is in ids, and a few others: a bit map of MAP_WORDS words tells them apart."""
-    hashed = F.xxhash64("doc_id")
+def _mapped(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of texts whose key is in ids, and a few others: a bit map of MAP_WORDS words tells them apart."""
+    hashed = F.xxhash64(key)
     word, bit = F.pmod(hashed, F.lit(MAP_WORDS)), F.shiftrightunsigned(hashed, 40).bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
     table = ids.select(word.alias("_word"), one.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
@@ -396,16 +402,19 @@ class _Labels:
 
     def __init__(self, classes: DataFrame):
         self.table = classes.select("cls", F.col("cls").alias("comp"))
+        self.moved = False
 
     def of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
         return rows.join(self.table.select(F.col("cls").alias(column), F.col("comp").alias(name)), column)
 
     def take(self, links: DataFrame) -> None:
-        """Joins the components that links (a, b) connect."""
+        """Joins the components that links (a, b), staged, connect."""
         edges = self.of(self.of(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         joined = components(edges)
         moved = self.table.join(joined.withColumnRenamed("node", "comp"), "comp", "left")
-        self.table = staged(moved.select("cls", F.coalesce("component", "comp").alias("comp")), "labels")
+        before, self.table = self.table, staged(moved.select("cls", F.coalesce("component", "comp").alias("comp")), "labels")
+        drop_staged(links, *[before] * self.moved)
+        self.moved = True
 
 
 def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
@@ -439,10 +448,10 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
 
     heads = probes.select("cls").distinct()
     picked = named.join(heads, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    chosen = _mapped(texts, picked).select("text").mapInArrow(_classed, "cls long, n long, v array<long>, text string").join(heads, "cls", "left_semi")
-    first = [F.first(c).alias(c) for c in ("n", "v", "text")]
-    chosen = staged(chosen.groupBy("cls").agg(*first), "texts", "zstd")
-    sets = staged(chosen.select("cls", "n", "v", F.octet_length("text").cast("long").alias("size")), "sets")
+    chosen = _mapped(texts, picked, "doc_id").select("text").mapInArrow(_classed, "cls long, n long, v array<long>, size long, text binary").join(heads, "cls", "left_semi")
+    first = [F.first(c).alias(c) for c in ("n", "v", "size", "text")]
+    chosen = staged(chosen.groupBy("cls").agg(*first), "texts")
+    sets = staged(chosen.select("cls", "n", "v", "size"), "sets")
     labels = _Labels(heads)
     apart = lambda rows: labels.of(labels.of(rows, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
 

@@ -274,7 +274,8 @@ def _candidates(carry: list[str], digest: bool, groups: int):
                 row += [_one_row(x.take(left)) for x in lists] + [_one_row(pa.array(x)) for x in (docs[done], n_words[done])] + [_one_row(pa.array(kept, pa.string()))]
                 row += [_one_row(x.take(go)) for x in lists] + [pa.array([x], pa.binary()) for x in (
                     docs[go].tobytes(), rids[go].tobytes(), _blob([data[k] for k, _ in opened]), _blob([m for _, m in opened]))]
-                yield pa.RecordBatch.from_arrays(row, ["slice", *[f"d{c}" for c in carry], "ddoc_id", "dn_words", "dkept", *[f"o{c}" for c in carry], "docs", "rids", "texts", "bits"])
+                row.append(pa.array([sum(int(np.unpackbits(np.frombuffer(m, np.uint8)).sum()) for _, m in opened)], pa.int64()))
+                yield pa.RecordBatch.from_arrays(row, ["slice", *[f"d{c}" for c in carry], "ddoc_id", "dn_words", "dkept", *[f"o{c}" for c in carry], "docs", "rids", "texts", "bits", "open"])
     return run
 
 
@@ -469,14 +470,11 @@ def dedup(docs: DataFrame, carry: list[str] = (), digest: bool = False) -> DataF
     answers = staged(answers.groupBy("slice").agg(F.collect_list(F.struct("g", "bits")).alias("answers")), "answers")
     done = dict(ddoc_id=number, dn_words=number, dkept=text)
     table = slices.join(answers, "slice", "left").select("slice", *own, "docs", "rids", "texts", "answers")
-    table = table.mapInArrow(_candidates(own, digest, groups), schema(slice=T.LongType(), **lists("d"), **done, **lists("o"), docs=binary, rids=binary, texts=binary, bits=binary))
+    table = table.mapInArrow(_candidates(own, digest, groups), schema(slice=T.LongType(), **lists("d"), **done, **lists("o"), docs=binary, rids=binary, texts=binary, bits=binary, open=T.LongType()))
     table = staged(table, "windows")
     drop_staged(slices, answers)
     opened = table.filter(F.length("docs") > 0)
-    n = opened.agg(F.sum(F.length("docs")).alias("n")).first().n or 0
-    # Windows of open documents, were they of average length.
-    windows = size // 6 * (n // 8) // max(1, rows.count()) if n else 0
-    groups = max(1, -(-windows // ENTRIES_PER_GROUP))
+    groups = max(1, -(-(opened.agg(F.sum("open").alias("n")).first().n or 0) // ENTRIES_PER_GROUP))
     asked = {c: T.ArrayType(T.BinaryType() if c == "rdigest" else T.LongType()) for c in _REQUEST}
     seed = 0
     while True:
