@@ -10,7 +10,6 @@ from tessera import operators as ops
 from tessera.sources import register_columnfile, scratch_folder, text_rows, write_columns
 from tessera.streaming import compute, project, where
 
-DATA = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
