@@ -5,10 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import packing as P
-from tests.llm.helpers import corpus, documents, words
+from tests.llm.helpers import corpus, documents
 from tests.llm.test_text_joins import brute_components, brute_dedup
 
 
