@@ -398,23 +398,26 @@ def _mapped(texts: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 class _Labels:
-    """Component of every class that probes; takes links in, and stays a table of (cls, comp)."""
+    """Component of every class that probes; its table has (cls, comp) of those whose component is not their own name."""
 
-    def __init__(self, classes: DataFrame):
-        self.table = classes.select("cls", F.col("cls").alias("comp"))
-        self.moved = False
+    def __init__(self):
+        self.table: DataFrame | None = None
 
     def of(self, rows: DataFrame, column: str, name: str) -> DataFrame:
-        return rows.join(self.table.select(F.col("cls").alias(column), F.col("comp").alias(name)), column)
+        if self.table is None:
+            return rows.withColumn(name, F.col(column))
+        moved = self.table.select(F.col("cls").alias(column), F.col("comp").alias("_comp"))
+        return rows.join(moved, column, "left").withColumn(name, F.coalesce("_comp", column)).drop("_comp")
 
     def take(self, links: DataFrame) -> None:
         """Joins the components that links (a, b), staged, connect."""
         edges = self.of(self.of(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        joined = components(edges)
-        moved = self.table.join(joined.withColumnRenamed("node", "comp"), "comp", "left")
-        before, self.table = self.table, staged(moved.select("cls", F.coalesce("component", "comp").alias("comp")), "labels")
-        drop_staged(links, *[before] * self.moved)
-        self.moved = True
+        joined = components(edges).filter("node <> component")
+        now = joined.select(F.col("node").alias("cls"), F.col("component").alias("comp"))
+        if self.table is not None:
+            now = self.table.join(joined, F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("component", "comp").alias("comp")).unionByName(now)
+        before, self.table = self.table, staged(now, "labels")
+        drop_staged(links, *([before] if before is not None else []))
 
 
 def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
@@ -452,7 +455,7 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     first = [F.first(c).alias(c) for c in ("n", "v", "size", "text")]
     chosen = staged(chosen.groupBy("cls").agg(*first), "texts")
     sets = staged(chosen.select("cls", "n", "v", "size"), "sets")
-    labels = _Labels(heads)
+    labels = _Labels()
     apart = lambda rows: labels.of(labels.of(rows, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
 
     # Every set and the leading sets of its signatures.
@@ -468,7 +471,7 @@ def link_components(docs: DataFrame, seed: int = 1) -> DataFrame:
     members = probes.select("cls", F.explode("sigs").alias("sig"))
     reach = labels.of(members, "cls", "comp").groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = staged(reach.filter("low < high").select("sig"), "mixed")
-    split = staged(members.join(mixed, "sig"), "split")
+    split = staged(_mapped(members, mixed, "sig").join(mixed, "sig"), "split")
     turns = [F.max_by("cls", F.xxhash64("cls", F.lit(j))) for j in range(PIVOTS)]
     pivots = split.groupBy("sig").agg(F.array_distinct(F.array(*turns)).alias("pivots")).select("sig", F.explode("pivots").alias("a"))
     led = split.select("sig", F.col("cls").alias("b")).join(pivots, "sig").filter("a <> b").select("a", "b").distinct()
