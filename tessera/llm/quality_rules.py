@@ -16,8 +16,9 @@ Threshold.  The score that all but the share `quantile` of the trusted documents
 reach that pass the base rules, read from an exact count of scores rounded to
 thousandths.  Each document that passes the base rules and reaches it is kept.
 
-Raw counts cover all documents, trusted counts all trusted texts.  Their ids
-are joined as Spark chooses, by broadcast only where they are few.  The weight
+Raw counts cover all documents, trusted counts all trusted texts.  Their ids are
+joined exactly; a broadcast bit map of fixed size keeps most other texts out of
+that join's exchange.  The weight
 table has 2 * buckets rows of one weight a fold, whatever the corpus.
 
 A window repeat inside a document is found by 64-bit hashes of its words.
@@ -40,6 +41,8 @@ BUCKETS = 1 << 16
 FOLDS = 4
 PRIOR = 1.0
 QUANTILE = 0.02
+# Words of the bit map of trusted documents, of 64 bits each.
+MAP_WORDS = 1 << 18
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -121,8 +124,18 @@ def n_grams(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(gram, weight): a weight for each fold, by the trusted texts of the others; trusted: doc_id of trusted texts."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("_t")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    marked = rows.join(ids, F.col("doc_id") == F.col("_t"), "left").select(F.when(F.col("_t").isNotNull(), fold(F.col("doc_id"))).alias("fold"), "w")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Only texts that a bit map of fixed size takes for trusted ones go through the exchange of the join.
+    bit = F.shiftrightunsigned(F.xxhash64("_t"), 40).bitwiseAND(F.lit(63)).cast("int")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_WORDS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    table = ids.select(place("_t").alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64("doc_id"), 40).bitwiseAND(F.lit(63)).cast("int"))
+    # At most MAP_WORDS rows of two numbers.
+    rows = rows.join(F.broadcast(table), place("doc_id") == F.col("_word"), "left").withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(own) != 0, F.lit(False)))
+    may = rows.filter("_may").select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_t"), "left")
+    marked = may.select(F.when(F.col("_t").isNotNull(), fold(F.col("doc_id"))).alias("fold"), words(F.col("text")).alias("w"))
+    marked = marked.unionByName(rows.filter("not _may").select(F.lit(None).cast("int").alias("fold"), words(F.col("text")).alias("w")))
     good = [F.count_if(F.col("fold") == k).alias(f"good{k}") for k in range(FOLDS)]
     counts = n_grams(marked, ["fold"], buckets).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), *good)
     counts = staged(counts, "grams")
