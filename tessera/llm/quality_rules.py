@@ -17,9 +17,11 @@ reach that pass the base rules, read from an exact count of scores rounded to
 thousandths.  Each document that passes the base rules and reaches it is kept.
 
 Raw counts cover all documents, trusted counts all trusted texts.  Their ids are
-joined exactly; a broadcast bit map of fixed size keeps most other texts out of
-that join's exchange.  The weight
-table has 2 * buckets rows of one weight a fold, whatever the corpus.
+compared exactly, but texts seldom travel for it: a broadcast bit map of fixed
+size says of each document whether it may be trusted, and the few ids that it
+takes for trusted ones by mistake, found by a join of ids alone, make a second
+map.  Only texts that both maps mark go through an exchange and an exact join.
+The weight table has 2 * buckets rows of one weight a fold, whatever the corpus.
 
 A window repeat inside a document is found by 64-bit hashes of its words.
 
@@ -41,8 +43,9 @@ BUCKETS = 1 << 16
 FOLDS = 4
 PRIOR = 1.0
 QUANTILE = 0.02
-# Words of the bit map of trusted documents, of 64 bits each.
-MAP_WORDS = 1 << 18
+# Rows of a bit map of ids, of MAP_WORDS words of 64 bits each; an id has a bit in every word of its row.
+MAP_ROWS = 1 << 18
+MAP_WORDS = 4
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -121,21 +124,41 @@ def n_grams(rows: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     return grams
 
 
+def _bits(key: Column) -> list[Column]:
+    return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 40 + 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(MAP_WORDS)]
+
+
+def in_map(rows: DataFrame, ids: DataFrame, name: str, seed: int, size: int) -> DataFrame:
+    """rows with `name`: true wherever doc_id is one of ids (column _t), and seldom elsewhere."""
+    place = lambda key: F.pmod(key, F.lit(size))
+    key = F.xxhash64("_t", F.lit(seed))
+    table = ids.select(place(key).alias("_row"), *[b.alias(f"_m{k}") for k, b in enumerate(_bits(key))])
+    table = table.groupBy("_row").agg(*[F.bit_or(f"_m{k}").alias(f"_m{k}") for k in range(MAP_WORDS)])
+    key = F.xxhash64("doc_id", F.lit(seed))
+    found = F.col("doc_id").isNotNull()
+    for k, b in enumerate(_bits(key)):
+        found &= F.coalesce(F.col(f"_m{k}").bitwiseAND(b) != 0, F.lit(False))
+    # At most `size` rows of MAP_WORDS + 1 numbers.
+    return rows.join(F.broadcast(table), place(key) == F.col("_row"), "left").select(*rows.columns, found.alias(name))
+
+
+def trusted_folds(docs: DataFrame, trusted: DataFrame, map_rows: int = MAP_ROWS) -> DataFrame:
+    """(fold, text) of all documents; fold is null for those that are not trusted."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("_t")).filter("_t is not null").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    may = in_map(rows.select("doc_id"), ids, "_may", 0, map_rows).filter("_may").select(F.col("doc_id").alias("_t")).distinct()
+    wrong = staged(may.join(ids, "_t", "left_anti"), "wrong")
+    rows = in_map(in_map(rows, ids, "_may", 0, map_rows), wrong, "_doubt", 1, map_rows)
+    open_ = F.col("_may") & F.col("_doubt")
+    # What may be trusted is either trusted or among the wrong ones, which are all in doubt.
+    sure = rows.filter(~open_).select(F.when(F.col("_may"), fold(F.col("doc_id"))).alias("fold"), "text")
+    doubt = rows.filter(open_).select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_t"), "left")
+    return sure.unionByName(doubt.select(F.when(F.col("_t").isNotNull(), fold(F.col("doc_id"))).alias("fold"), "text"))
+
+
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """(gram, weight): a weight for each fold, by the trusted texts of the others; trusted: doc_id of trusted texts."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("_t")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Only texts that a bit map of fixed size takes for trusted ones go through the exchange of the join.
-    bit = F.shiftrightunsigned(F.xxhash64("_t"), 40).bitwiseAND(F.lit(63)).cast("int")
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_WORDS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-    table = ids.select(place("_t").alias("_word"), one.alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
-    own = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64("doc_id"), 40).bitwiseAND(F.lit(63)).cast("int"))
-    # At most MAP_WORDS rows of two numbers.
-    rows = rows.join(F.broadcast(table), place("doc_id") == F.col("_word"), "left").withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(own) != 0, F.lit(False)))
-    may = rows.filter("_may").select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_t"), "left")
-    marked = may.select(F.when(F.col("_t").isNotNull(), fold(F.col("doc_id"))).alias("fold"), words(F.col("text")).alias("w"))
-    marked = marked.unionByName(rows.filter("not _may").select(F.lit(None).cast("int").alias("fold"), words(F.col("text")).alias("w")))
+    marked = trusted_folds(docs, trusted).select("fold", words(F.col("text")).alias("w"))
     good = [F.count_if(F.col("fold") == k).alias(f"good{k}") for k in range(FOLDS)]
     counts = n_grams(marked, ["fold"], buckets).filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("raw"), *good)
     counts = staged(counts, "grams")
