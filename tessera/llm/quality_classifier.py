@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.storage import quoted, small_batches
+from tessera.llm.storage import give_back, quoted, small_batches
 from tessera.llm.textops import chunks, encoded, mix, word_table
 
 BUCKETS = 1 << 18
@@ -119,16 +119,19 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, dims:
     if not len(labels) or not 0 < share < 1:
         edge = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(buckets, dtype=np.float32), float(np.log(edge / (1 - edge))))
-    ids, freq, cut = [], [], [0]
+    # Of each text its distinct buckets and how often it has them; nothing is joined into one array, which would be there twice.
+    ids, times, whole = [], [], []
     for a, b in chunks(texts):
         blocks = list(feature_blocks(texts[a:b], buckets))
-        owner = np.concatenate([o for o, _ in blocks]).astype(np.int64)
-        one, times = np.unique(owner * buckets + np.concatenate([f for _, f in blocks]), return_counts=True)
+        one = np.concatenate([o.astype(np.int64) * buckets + f for o, f in blocks])
+        del blocks
+        one, n = np.unique(one, return_counts=True)
         doc = one // buckets
-        ids.append((one % buckets).astype(np.int32))
-        freq.append((times / np.bincount(owner, minlength=b - a)[doc]).astype(np.float32))
-        cut += (np.cumsum(np.bincount(doc, minlength=b - a)) + cut[-1]).tolist()
-    ids, freq, cut = np.concatenate(ids), np.concatenate(freq), np.array(cut)
+        cut = np.cumsum(np.bincount(doc, minlength=b - a))[:-1]
+        whole += np.bincount(doc, n, b - a).tolist()
+        ids += np.split((one % buckets).astype(np.int32), cut)
+        times += np.split(n.astype(np.min_scalar_type(n.max())), cut)
+    size, whole = np.array([len(x) for x in ids]), np.array(whole)
     epochs = max(epochs, -(-MIN_SEEN // len(texts)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
@@ -138,10 +141,10 @@ def train(texts: list[bytes], labels: np.ndarray, buckets: int = BUCKETS, dims:
         order = rng.permutation(len(texts))
         for s in range(0, len(order), batch):
             docs = order[s : s + batch]
-            at = np.concatenate([np.arange(cut[d], cut[d + 1]) for d in docs])
-            owner = np.repeat(np.arange(len(docs)), cut[docs + 1] - cut[docs])
-            begin = np.concatenate([[0], np.cumsum(cut[docs + 1] - cut[docs])[:-1]])
-            f, w = ids[at], freq[at][:, None]
+            owner = np.repeat(np.arange(len(docs)), size[docs])
+            begin = np.concatenate([[0], np.cumsum(size[docs])[:-1]])
+            f = np.concatenate([ids[d] for d in docs])
+            w = (np.concatenate([times[d] for d in docs]) / whole[docs][owner]).astype(np.float32)[:, None]
             mean = np.add.reduceat(vectors[f] * w, begin, axis=0)
             z = mean @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -169,7 +172,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     rows = training_rows(docs, labels, max_rows, max_chars).toArrow()
-    return train(encoded(rows.column("text")), rows.column("quality").to_numpy().astype(np.int64))
+    texts, marks = encoded(rows.column("text")), rows.column("quality").to_numpy().astype(np.int64)
+    del rows
+    model = train(texts, marks)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
